@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FIT_SCHEMA = (
-    "struct<coef:array<double>,beta:array<double>,intercept:double,"
+    "struct<coef:array<double>,beta:array<double>,se:array<double>,intercept:double,"
     "rss:double,tss:double,r2:double,n:bigint>"
 )
 
@@ -116,9 +116,15 @@ def solve_fit(
     beta = w / sd
     tss = float(cov[y, y] * n)
     rss = float(tss - 2 * beta @ sxy + beta @ sxx @ beta)
+    dof = n - len(xs) - 1
+    se = np.full(len(xs), np.nan)
+    if alpha == 0 and dof > 0:
+        with np.errstate(invalid="ignore"):
+            se = np.sqrt(np.diag(np.linalg.pinv(sxx)) * max(rss, 0.0) / dof)
     return {
         "coef": w.tolist(),
         "beta": beta.tolist(),
+        "se": se.tolist(),
         "intercept": float(mean[y] - beta @ mean[xs]),
         "rss": rss,
         "tss": tss,
@@ -141,7 +147,7 @@ def fit_column(
             mu, cov = unpack(m, c)
             rows.append(solve_fit(count, mu, cov, xs, y, alpha, scaled))
         return pd.DataFrame(
-            rows, columns=["coef", "beta", "intercept", "rss", "tss", "r2", "n"]
+            rows, columns=["coef", "beta", "se", "intercept", "rss", "tss", "r2", "n"]
         )
 
     return fit(n, mean, comoment)
@@ -160,6 +166,26 @@ def fit(
     )
 
 
+def masked_fit_column(
+    n: Column, mean: Column, comoment: Column, used: Column, base: Sequence[int],
+    extra: Sequence[int], y: int,
+) -> Column:
+    """Least squares on ``base`` plus the first ``used`` of ``extra``, chosen per row."""
+    base, extra = list(base), list(extra)
+
+    @F.pandas_udf(FIT_SCHEMA)
+    def fit(n: pd.Series, mean: pd.Series, comoment: pd.Series, used: pd.Series) -> pd.DataFrame:
+        rows = []
+        for count, m, c, k in zip(n, mean, comoment, used):
+            mu, cov = unpack(m, c)
+            rows.append(solve_fit(count, mu, cov, base + extra[: int(k)], y, 0.0, False))
+        return pd.DataFrame(
+            rows, columns=["coef", "beta", "se", "intercept", "rss", "tss", "r2", "n"]
+        )
+
+    return fit(n, mean, comoment, used)
+
+
 def linear_score(fit_col: str, xs: Sequence[str]) -> Column:
     """Prediction column of a fit joined to feature rows."""
     total = F.col(f"{fit_col}.intercept")

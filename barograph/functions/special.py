@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Erf approximation 7.1.26 of Abramowitz and Stegun (error below 1.5e-7).
 ERF_P = 0.3275911
@@ -115,7 +116,7 @@ def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_tail2(stat: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-sided Student t p-value."""
     t, v = stat.astype(float).to_numpy(), dof.astype(float).to_numpy()
@@ -125,7 +126,7 @@ def t_tail2(stat: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(out).where(ok, None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_tail(stat: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """Upper tail of the F distribution."""
     f = stat.astype(float).to_numpy()

@@ -98,9 +98,10 @@ def kurt_corrected(x: Column) -> Callable[[WindowSpec | None], Column]:
 def decayed_sum(
     df: DataFrame,
     columns: dict[str, Column | str],
-    decay: float,
+    decay: float | Column,
     keys: Sequence[str] = (KEY,),
     order: str = TIME,
+    least_decay: float | None = None,
 ) -> DataFrame:
     """Add ``out_t = sum over s <= t of decay^(t-s) * x_s`` for every ``out: x``.
 
@@ -108,19 +109,23 @@ def decayed_sum(
     Rows are numbered per series and cut into stretches short enough that
     ``decay^-i`` stays near 1e150. One stretch later the weight is 1e-150, so a row
     needs its own stretch plus the closing value of the one before: nothing overflows
-    and series of any length work.
+    and series of any length work. A decay that differs between keys is passed as a column
+    together with its smallest value; the largest must then leave nothing after one
+    stretch (0.8 to 0.98 does).
     """
-    if not 0.0 < decay < 1.0:
-        raise ValueError(f"decay must lie in (0, 1), got {decay}")
-    stretch = max(2, int(345.0 / abs(math.log(decay))))
+    if not isinstance(decay, Column):
+        least_decay, decay = decay, F.lit(decay)
+    if least_decay is None or not 0.0 < least_decay < 1.0:
+        raise ValueError(f"decay must lie in (0, 1), got {least_decay}")
+    stretch = max(2, int(345.0 / abs(math.log(least_decay))))
     line = by_series(*keys, order=order)
     df = df.withColumn("_pos", F.row_number().over(line) - 1)
     df = df.withColumns(
         {"_stretch": F.floor(F.col("_pos") / stretch), "_i": F.col("_pos") % stretch}
     )
     inside = by_series(*keys, "_stretch", order=order).rowsBetween(Window.unboundedPreceding, 0)
-    grow = F.pow(F.lit(decay), -F.col("_i"))
-    shrink = F.pow(F.lit(decay), F.col("_i"))
+    grow = F.pow(decay, -F.col("_i"))
+    shrink = F.pow(decay, F.col("_i"))
     df = df.withColumns(
         {
             f"_in_{name}": shrink * F.sum(F.coalesce(col(x), F.lit(0.0)) * grow).over(inside)

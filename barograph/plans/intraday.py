@@ -163,7 +163,7 @@ def _loss_sql(est, extra="", having=10):
 
 register(
     "i10_estimator_comparison",
-    "series_id:s estimator:s mse:2 qlike:6 n:i",
+    "series_id:s estimator:s mse:2 qlike:2 n:i",
     lambda s, d: it.estimators_as_forecasts(merged(s, d), EST),
     sql_i("lineitem", _loss_sql(EST), BNS, *MERGED),
 )
