@@ -26,7 +26,10 @@ from barograph.functions.windows import (
 
 YEAR = 252
 BANDWIDTH = 8
-BLOCK = Window.partitionBy(KEY, "day", "block").orderBy("rn")
+
+
+def day_block():
+    return Window.partitionBy(KEY, "day", "block").orderBy("rn")
 
 
 def tick_returns(
@@ -39,7 +42,7 @@ def tick_returns(
     """
     slotted = ticks.withColumn("slot", F.floor(F.col("seq") / slot_width))
     cut = in_blocks(slotted, [KEY, "day"], "slot", ["seq", "price"], lookback, block_rows)
-    ratio = F.try_divide("price", F.lag("price").over(BLOCK))
+    ratio = F.try_divide("price", F.lag("price").over(day_block()))
     return cut.withColumn("log_ret", F.ln(ratio))
 
 
@@ -55,7 +58,7 @@ def realised_measures(returns: DataFrame, bandwidth: int = BANDWIDTH) -> DataFra
     Days with fewer than ``bandwidth + 2`` returns fall back to realised variance.
     """
     r = F.col("log_ret")
-    lagged = returns.withColumns({f"_r{h}": F.lag("log_ret", h).over(BLOCK) for h in range(1, bandwidth + 1)})
+    lagged = returns.withColumns({f"_r{h}": F.lag("log_ret", h).over(day_block()) for h in range(1, bandwidth + 1)})
     kernel = sum(
         (
             F.lit(2 * parzen(h, bandwidth)) * F.coalesce(F.sum(r * F.col(f"_r{h}")), F.lit(0.0))

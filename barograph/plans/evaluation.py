@@ -48,7 +48,7 @@ def metrics(s, d):
 
 def _agg(**cols):
     return lambda s, d: predictions(s, d).groupBy("series_id", "model").agg(
-        *[c.alias(n) for n, c in cols.items()]
+        *[make().alias(n) for n, make in cols.items()]
     )
 
 
@@ -58,18 +58,18 @@ def _sql_agg(cols: str) -> str:
 
 register(
     "e1_rmse_mae", "series_id:s model:s rmse:4 mae:4",
-    _agg(rmse=ev.rmse(), mae=ev.mae()),
+    _agg(rmse=ev.rmse, mae=ev.mae),
     _sql_agg("sqrt(avg(pow(actual - pred, 2))) AS rmse, avg(abs(actual - pred)) AS mae"),
 )
 register(
     "e2_mape", "series_id:s model:s mape:1",
-    _agg(mape=ev.mape()),
+    _agg(mape=ev.mape),
     _sql_agg("avg(abs(actual - pred) / (abs(actual) + 1e-10)) * 100 AS mape"),
 )
-register("e3_qlike", "series_id:s model:s qlike:4", _agg(qlike=ev.qlike()), _sql_agg(f"{QL} AS qlike"))
+register("e3_qlike", "series_id:s model:s qlike:4", _agg(qlike=ev.qlike), _sql_agg(f"{QL} AS qlike"))
 register(
     "e4_qlike_ratio", "series_id:s model:s qlike:4",
-    _agg(qlike=ev.qlike_ratio()),
+    _agg(qlike=ev.qlike_ratio),
     _sql_agg(
         "avg(greatest(actual, 1e-6) / greatest(pred, 1e-6) - ln(greatest(actual, 1e-6) / greatest(pred, 1e-6)) - 1) AS qlike"
     ),
