@@ -490,18 +490,32 @@ def rolling_granger(
     the two nested fits have closed forms in the window's co-moments.
     """
     rows = _granger_rows(panel, pairs, 1)
-    w = Window.partitionBy("cause", "effect").orderBy(TIME).rowsBetween(-(window - 1), -1)
+    part = "PARTITION BY cause, effect ORDER BY t"
+    names = ("y", "y1", "x1")
+    rows = rows.selectExpr(
+        "*", *[f"{c} - avg({c}) OVER (PARTITION BY cause, effect) AS _d{i}" for i, c in enumerate(names)]
+    )
+    # a window sum is the difference of two running sums: a row costs the same for any window
+    terms = {"_n": "CASE WHEN y1 IS NOT NULL THEN 1 ELSE 0 END"}
+    full = "CASE WHEN y1 IS NOT NULL THEN {} ELSE 0 END"
+    terms |= {f"_s{i}": full.format(f"_d{i}") for i in range(3)}
+    terms |= {f"_p{i}{j}": full.format(f"_d{i} * _d{j}") for i, j in linalg.triangle(3)}
+    rows = rows.selectExpr(
+        "cause", "effect", TIME, "_pos", *[f"sum({e}) OVER ({part}) AS {c}" for c, e in terms.items()]
+    )
+    rows = rows.selectExpr(
+        "cause", "effect", TIME, "_pos",
+        *[f"lag({c}, 1) OVER ({part}) - lag({c}, {window}, 0) OVER ({part}) AS {c}" for c in terms],
+    ).filter(F.col("_pos") > window)
 
-    def co(a: str, b: str) -> Column:
-        return F.covar_pop(a, b).over(w)
+    def co(i: int, j: int) -> str:
+        return f"_p{i}{j} / _n - _s{i} / _n * _s{j} / _n"
 
-    rows = rows.withColumns(
-        {
-            "_n": F.count("y1").over(w).cast("double"),
-            "_yy": co("y", "y"), "_11": co("y1", "y1"), "_22": co("x1", "x1"),
-            "_y1": co("y", "y1"), "_y2": co("y", "x1"), "_12": co("y1", "x1"),
-        }
-    ).filter(F.col("_pos") > window)
+    rows = rows.selectExpr(
+        "cause", "effect", TIME, "cast(_n AS double) AS _n",
+        f"{co(0, 0)} AS _yy", f"{co(1, 1)} AS _11", f"{co(2, 2)} AS _22",
+        f"{co(0, 1)} AS _y1", f"{co(0, 2)} AS _y2", f"{co(1, 2)} AS _12",
+    )
     zero = F.lit(0.0)
     rss_r = F.col("_yy") - F.col("_y1") * F.col("_y1") / F.nullif(F.col("_11"), zero)
     det = F.nullif(F.col("_11") * F.col("_22") - F.col("_12") * F.col("_12"), zero)

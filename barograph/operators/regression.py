@@ -36,23 +36,8 @@ def ridge_models(
     """One fit per key and feature set on the training rows: a single pass for all sets."""
     cols = sorted({c for s in sets.values() for c in s}) + ["target"]
     m = linalg.grouped_moments(table.filter(~F.col("is_test")), list(keys), cols)
-    at = {c: i for i, c in enumerate(cols)}
-    fits = [
-        m.select(
-            *keys,
-            F.lit(name).alias("model"),
-            linalg.fit_column(
-                F.col("n"), F.col("mean"), F.col("comoment"),
-                [at[c] for c in xs], at["target"], alpha, True,
-            ).alias("fit"),
-            F.element_at("mean", -1).alias("mean_target"),
-        )
-        for name, xs in sets.items()
-    ]
-    out = fits[0]
-    for f in fits[1:]:
-        out = out.unionByName(f)
-    return out
+    fits = linalg.fit_many(m, cols, {name: (xs, alpha, True) for name, xs in sets.items()}, "target")
+    return fits.select(*keys, "model", "fit", F.element_at("mean", -1).alias("mean_target"))
 
 
 def ridge_predictions(
@@ -123,12 +108,10 @@ def alpha_grid(
     rows = fold_ids(table, folds)
     cols = [*xs, "target"]
     m = linalg.running_moments(rows, [KEY], "fold", cols).filter(F.col("fold") < folds)
-    fits = None
-    for a in alphas:
-        f = linalg.fit(m, cols, xs, "target", a, scaled=False).select(
-            KEY, (F.col("fold") + 1).alias("fold"), F.lit(float(a)).alias("alpha"), "fit"
-        )
-        fits = f if fits is None else fits.unionByName(f)
+    specs = {str(a): (xs, float(a), False) for a in alphas}
+    fits = linalg.fit_many(m, cols, specs, "target").select(
+        KEY, (F.col("fold") + 1).alias("fold"), F.col("model").cast("double").alias("alpha"), "fit"
+    )
     scored = rows.join(fits, [KEY, "fold"])
     err = F.pow(F.col("target") - linalg.linear_score("fit", xs), F.lit(2.0))
     per_fold = scored.groupBy(KEY, "alpha", "fold").agg(F.sqrt(F.avg(err)).alias("_rmse"))

@@ -88,21 +88,16 @@ def recursive_elimination(
 ) -> DataFrame:
     """Backward elimination by the size of the ridge coefficients, number of features by CV.
 
-    Spark aggregates the moments of every training and test fold once. The elimination runs
-    on sub-matrices, one row of moments per series.
+    Spark aggregates the moments of every fold once; training sets are sums of folds. The
+    elimination runs on sub-matrices, one row of moments per series.
     """
     features = list(features)
     cols = [*features, "target"]
     k = len(features)
     rows = fold_ids(train.select(KEY, TIME, *cols), folds)
-    learn = linalg.running_moments(rows, [KEY], "fold", cols)
-    test = linalg.grouped_moments(rows, [KEY, "fold"], cols)
-
-    def packed(df: DataFrame, name: str) -> DataFrame:
-        cell = F.struct("fold", "n", "mean", "comoment")
-        return df.groupBy(KEY).agg(F.array_sort(F.collect_list(cell)).alias(name))
-
-    both = packed(learn, "learn").join(packed(test, "test"), KEY)
+    blocks = linalg.grouped_moments(rows, [KEY, "fold"], cols).groupBy(KEY).agg(
+        F.array_sort(F.collect_list(F.struct("fold", "n", "mean", "comoment"))).alias("blocks")
+    )
 
     def eliminate(mean, cov, n) -> list[list[int]]:
         """Feature sets from all down to ``least``, dropping the smallest coefficient each time."""
@@ -121,27 +116,26 @@ def recursive_elimination(
         return float(np.sqrt(max(spread + bias * bias, 0.0)))
 
     @F.pandas_udf("struct<n_selected:int,selected:array<int>,sizes:array<int>,cv_rmse:array<double>>")
-    def select(learn: pd.Series, test: pd.Series) -> pd.DataFrame:
+    def select(blocks: pd.Series) -> pd.DataFrame:
         out = []
-        for tr, te in zip(learn, test):
+        for series in blocks:
+            parts = [(b["n"], *linalg.unpack(b["mean"], b["comoment"])) for b in series]
             scores: dict[int, list[float]] = {}
-            for a, b in zip(list(tr)[:-1], list(te)[1:]):
-                mean, cov = linalg.unpack(a["mean"], a["comoment"])
-                tmean, tcov = linalg.unpack(b["mean"], b["comoment"])
-                for xs in eliminate(mean, cov, a["n"]):
-                    f = linalg.solve_fit(a["n"], mean, cov, xs, k, alpha, True)
-                    scores.setdefault(len(xs), []).append(error(f, xs, tmean, tcov))
+            for i in range(1, len(parts)):
+                n, mean, cov = linalg.pooled(parts[:i])
+                for xs in eliminate(mean, cov, n):
+                    f = linalg.solve_fit(n, mean, cov, xs, k, alpha, True)
+                    scores.setdefault(len(xs), []).append(error(f, xs, parts[i][1], parts[i][2]))
             sizes = sorted(scores)
             means = [float(np.mean(scores[s])) for s in sizes]
             best = sizes[int(np.argmin(means))]
-            last = list(tr)[-1]
-            mean, cov = linalg.unpack(last["mean"], last["comoment"])
-            chosen = next(xs for xs in eliminate(mean, cov, last["n"]) if len(xs) == best)
+            n, mean, cov = linalg.pooled(parts)
+            chosen = next(xs for xs in eliminate(mean, cov, n) if len(xs) == best)
             out.append((best, chosen, sizes, means))
         return pd.DataFrame(out, columns=["n_selected", "selected", "sizes", "cv_rmse"])
 
     names = F.array(*[F.lit(f) for f in features])
-    return both.select(KEY, select("learn", "test").alias("s")).select(
+    return blocks.select(KEY, select("blocks").alias("s")).select(
         KEY,
         "s.n_selected",
         F.transform("s.selected", lambda i: F.element_at(names, i + 1)).alias("selected_features"),

@@ -8,7 +8,8 @@ from barograph.operators import cross as cr
 from barograph.operators import returns as rt
 from barograph.plans import sqltext as sq
 from barograph.plans.market import BASE_SQL, _VOL, sql_r
-from barograph.plans.registry import register
+from barograph.plans.registry import register_reusing as register
+from barograph.plans.registry import shared
 from barograph.plans.tables import BENCHMARK, SERIES, rets, vols
 from barograph.sources.bars import aligned_panel
 
@@ -115,6 +116,7 @@ register(
 )
 
 
+@shared()
 def pairs(s, d):
     return cr.market_pairs(ret_panel(rets(s, d)), SERIES, BENCHMARK)
 

@@ -10,7 +10,8 @@ from barograph.plans import sqltext as sq
 from barograph.plans.forecast import HAR4, har, retrained, wf_sql
 from barograph.plans.hypothesis import ks_p_sql
 from barograph.plans.market import HAR_TABLE, sql_r
-from barograph.plans.registry import register
+from barograph.plans.registry import register_reusing as register
+from barograph.plans.registry import shared
 from barograph.plans.tables import rets, table
 
 
@@ -68,6 +69,7 @@ register(
 )
 
 
+@shared()
 def rv_scan(s, d):
     return dr.drift_scan(rets(s, d), "rv")
 
@@ -88,6 +90,7 @@ FD = (
 )
 
 
+@shared()
 def feature_psi(s, d):
     return dr.feature_drift(har(s, d), HAR4)
 
@@ -154,6 +157,7 @@ register(
 )
 
 
+@shared()
 def log(s, d):
     return dr.monitor_log(retrained(s, d), rv_scan(s, d), feature_psi(s, d))
 

@@ -9,7 +9,8 @@ from barograph.operators import returns as rt
 from barograph.plans import sqltext as sq
 from barograph.plans.cross import TERCILE
 from barograph.plans.market import HAR_TABLE, _VOL, sql_r
-from barograph.plans.registry import register
+from barograph.plans.registry import register_reusing as register
+from barograph.plans.registry import shared
 from barograph.plans.tables import SERIES, rets, vols
 
 MODELS = {"last": "rv_lag_1", "mean5": "rv_lag_5", "mean21": "rv_lag_21"}
@@ -38,10 +39,12 @@ def metrics_sql(name: str, src: str, keys: str) -> str:
 MET = metrics_sql("mt", "pr", "series_id, model")
 
 
+@shared()
 def predictions(s, d):
     return ev.naive_forecasts(rt.har_table(rets(s, d)))
 
 
+@shared()
 def metrics(s, d):
     return ev.metric_table(predictions(s, d))
 
@@ -85,6 +88,7 @@ register(
 )
 
 
+@shared()
 def regimes(s, d):
     v = vols(s, d).filter(F.col("vol_c2c_21d").isNotNull())
     return ev.tercile_labels(v.select("series_id", "t", "vol_c2c_21d"), "vol_c2c_21d")
@@ -114,6 +118,7 @@ REGMET = (
 )
 
 
+@shared()
 def by_regime(s, d):
     return ev.regime_metrics(predictions(s, d), regimes(s, d))
 
@@ -138,6 +143,7 @@ RANK = (
 )
 
 
+@shared()
 def ranked(s, d):
     return ev.rank_models(metrics(s, d))
 

@@ -21,7 +21,8 @@ from barograph.plans.evaluation import MODELS, PRED, QL, metrics_sql
 from barograph.plans.evaluation import predictions as naive
 from barograph.plans.intraday import MOMF, moment_table, sql_i
 from barograph.plans.market import AHAR_SQL, BASE_SQL, HAR_TABLE, _VOL, sql_r
-from barograph.plans.registry import register
+from barograph.plans.registry import register_reusing as register
+from barograph.plans.registry import shared
 from barograph.plans.tables import SERIES, rets, vols
 
 HAR = list(rt.HAR)
@@ -32,6 +33,7 @@ def score_sql(fit: str, xs, row: str = "s") -> str:
     return " + ".join([f"{fit}.c", *[f"{fit}.b{i} * {row}.{x}" for i, x in enumerate(xs)]])
 
 
+@shared()
 def har(s, d):
     return rt.har_table(rets(s, d))
 
@@ -41,10 +43,12 @@ RIDGE = (HAR_TABLE, *sq.ridge("ht", "series_id", HAR, "target", 10, True, "rg",
 SETS = {"har": HAR}
 
 
+@shared()
 def har_split(s, d):
     return rr.train_test(har(s, d))
 
 
+@shared()
 def har_predictions(s, d):
     split = har_split(s, d)
     return rr.ridge_predictions(split, rr.ridge_models(split, SETS), SETS)
@@ -192,6 +196,7 @@ _BOTH = "(SELECT *, 'expanding' AS mode FROM wex UNION ALL SELECT *, 'rolling' F
 _W = "window:i n_train:i test_start:d test_end:d rmse:4 mae:4 qlike:3 dir_acc:5"
 
 
+@shared()
 def experiments(s, d):
     return rr.walk_forward_experiments(har(s, d))
 
@@ -212,6 +217,7 @@ register(
 HAR4 = [*HAR, "abs_ret_lag1"]
 
 
+@shared()
 def retrained(s, d):
     table = har(s, d)
     models = rr.walk_forward_models(table, HAR4, 10.0, 252, 21)
@@ -235,6 +241,7 @@ HIST.append(
 )
 
 
+@shared()
 def history(s, d):
     return rr.coefficient_history(har(s, d))
 
@@ -268,6 +275,7 @@ register(
 )
 
 
+@shared()
 def regime_table(s, d):
     return cr.regime_features(har(s, d), tercile_regimes(vols(s, d))).withColumn(
         "regime", F.col("regime_lag1")
@@ -293,6 +301,7 @@ register(
 )
 
 
+@shared()
 def all_predictions(s, d):
     return naive(s, d).unionByName(har_predictions(s, d))
 
@@ -341,6 +350,7 @@ register(
 BASE = list(rt.BASE_FEATURES)
 
 
+@shared()
 def base_train(s, d):
     return rr.train_test(rt.base_features(rets(s, d))).filter(~F.col("is_test"))
 
@@ -554,6 +564,7 @@ register(
 )
 
 
+@shared()
 def corr_history(s, d):
     return se.correlation_history(rt.base_features(rets(s, d)), BASE)
 
@@ -590,6 +601,7 @@ register(
 )
 
 
+@shared()
 def mixture(s, d):
     return rg.mixture_regimes(vols(s, d), "vol_c2c_21d")
 

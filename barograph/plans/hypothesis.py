@@ -13,7 +13,8 @@ from barograph.plans import sqltext as sq
 from barograph.plans.cross import PV, rv_panel
 from barograph.plans.evaluation import MODELS, PRED, predictions
 from barograph.plans.market import HAR_TABLE, _VOL, sql_r
-from barograph.plans.registry import register
+from barograph.plans.registry import register_reusing as register
+from barograph.plans.registry import shared
 from barograph.plans.tables import SERIES, rets, vols
 from barograph.sources.bars import series_pairs
 
@@ -22,6 +23,7 @@ NAMES = tuple(MODELS)
 ORDERED = series_pairs(SERIES, ordered=True)
 
 
+@shared()
 def stacked(s, d):
     """Returns and squared returns as two named series per key."""
     r = rets(s, d).filter(F.col("log_return").isNotNull())
@@ -283,6 +285,7 @@ def _granger_ctes(max_lag: int = 5) -> tuple[str, ...]:
     return tuple(out)
 
 
+@shared()
 def gfits(s, d):
     return hy.granger_fits(rv_panel(rets(s, d)), ORDERED)
 
@@ -342,6 +345,7 @@ def violation_tests(src: str, key: str) -> tuple[str, ...]:
     )
 
 
+@shared()
 def var_rows(s, d):
     return rk.series_var_rows(vols(s, d), "vol_c2c_21d")
 

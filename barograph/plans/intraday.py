@@ -9,13 +9,13 @@ from barograph.plans.registry import register
 from barograph.plans.tables import event_ticks, lineitem_ticks, rets, vols
 
 HOUR = 3_600_000_000
-KEY_RANGE = 1 << 35
+KEY_RANGE = 1 << 51
 
 TICKS = {
     "events": "tk AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS day, "
     "epoch_us(ts) AS seq, value AS p FROM events)",
     "lineitem": "tk AS (SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS day, "
-    "l_orderkey * 8 + l_linenumber AS seq, l_extendedprice / l_quantity AS p FROM lineitem)",
+    "(l_orderkey * 8 + l_linenumber) * 65536 + (CAST(round(l_extendedprice * 100) AS BIGINT) * 50 + CAST(l_quantity AS BIGINT)) % 65536 AS seq, l_extendedprice / l_quantity AS p FROM lineitem)",
 }
 _D = "(PARTITION BY series_id, day ORDER BY seq, p)"
 _LAGS = ", ".join(f"lag(x, {h}) OVER {_D} AS x{h}" for h in range(1, 9))

@@ -8,11 +8,43 @@ the same way: ``s`` text, ``d`` date (as ISO text), ``i`` whole number, ``b`` bo
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import dataclass
+from functools import partial, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barograph.sources.checkpoint import stored
+
+
+# tables already built for the query under construction; None where nothing is shared
+_SHARED: ContextVar[dict | None] = ContextVar("shared", default=None)
+
+
+def shared(store: bool = False):
+    """Build a table once per query; ``store`` also writes it to the shared folder.
+
+    A query that uses its bars several times would otherwise scan the raw ticks once per
+    use, because every use prunes different columns. Nothing outlives the query.
+    """
+
+    def wrap(make: Callable[[SparkSession, str], DataFrame]):
+        @wraps(make)
+        def table(spark: SparkSession, sf_dir: str) -> DataFrame:
+            built = _SHARED.get()
+            if built is None:
+                return make(spark, sf_dir)
+            name = f"{make.__module__}.{make.__qualname__}"
+            if name not in built:
+                df = make(spark, sf_dir)
+                built[name] = stored(df, make.__name__) if store else df
+            return built[name]
+
+        return table
+
+    return wrap
+
 
 @dataclass(frozen=True)
 class Query:
@@ -20,9 +52,14 @@ class Query:
     columns: tuple[tuple[str, str], ...]
     build: Callable[[SparkSession, str], DataFrame]
     sql: str | None
+    reuse: bool = False
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = self.build(spark, sf_dir)
+        token = _SHARED.set({} if self.reuse else None)
+        try:
+            df = self.build(spark, sf_dir)
+        finally:
+            _SHARED.reset(token)
         return df.select(*[_spark_cell(c, kind) for c, kind in self.columns])
 
     def oracle(self) -> str | None:
@@ -60,8 +97,13 @@ def register(
     columns: str,
     build: Callable[[SparkSession, str], DataFrame],
     sql: str | None = None,
+    reuse: bool = False,
 ) -> None:
     if name in QUERIES:
         raise ValueError(f"query {name} registered twice")
     spec = tuple(tuple(c.rsplit(":", 1)) for c in columns.split())
-    QUERIES[name] = Query(name, spec, build, sql)
+    QUERIES[name] = Query(name, spec, build, sql, reuse)
+
+
+# for queries that use their bars more than once
+register_reusing = partial(register, reuse=True)

@@ -9,7 +9,8 @@ from barograph.plans import sqltext as sq
 from barograph.plans.cross import PN, ret_panel
 from barograph.plans.hypothesis import VAR_SQL, var_rows, violation_tests
 from barograph.plans.market import _VOL, sql_r
-from barograph.plans.registry import register
+from barograph.plans.registry import register_reusing as register
+from barograph.plans.registry import shared
 from barograph.plans.tables import SERIES, rets
 from barograph.sources.bars import aligned_panel, series_pairs
 
@@ -19,6 +20,7 @@ WEIGHTS = {s: 1.0 / 3 for s in SERIES}
 A, B = 0.05, 0.90
 
 
+@shared()
 def pairs(s, d):
     return rk.matrix_pairs(ret_panel(rets(s, d)), SERIES)
 
@@ -81,11 +83,13 @@ register(
 )
 
 
+@shared()
 def panel_long(s, d):
     """The aligned panel as rows per series, so that all series share their dates."""
     return ret_panel(rets(s, d)).unpivot(["t"], list(SERIES), "series_id", "log_return")
 
 
+@shared()
 def ewma_vols(s, d):
     return rk.ewma_volatility(panel_long(s, d))
 
@@ -114,6 +118,7 @@ register(
 )
 
 
+@shared()
 def resid_pairs(s, d):
     e = rk.standardised_residuals(ewma_vols(s, d))
     return rk.matrix_pairs(aligned_panel(e, "resid", SERIES), SERIES)
@@ -135,6 +140,7 @@ DCC = (
 )
 
 
+@shared()
 def dcc_rows(s, d):
     return rk.dcc(resid_pairs(s, d), A, B)
 
@@ -175,16 +181,19 @@ register(
 )
 
 
+@shared()
 def vol_pairs(s, d):
     return rk.matrix_pairs(aligned_panel(ewma_vols(s, d), "ewma_vol", SERIES), SERIES)
 
 
+@shared()
 def ccc_vol(s, d):
     return rk.portfolio_volatility(
         vol_pairs(s, d), rk.full_correlation(pairs(s, d)), WEIGHTS, ("i", "j"), "port_vol_ccc"
     )
 
 
+@shared()
 def dcc_vol(s, d):
     return rk.portfolio_volatility(vol_pairs(s, d), dcc_rows(s, d), WEIGHTS, ("t", "i", "j"), "port_vol_dcc")
 

@@ -10,13 +10,15 @@ from barograph.plans import sqltext as sq
 from barograph.plans.cross import PV, rv_panel
 from barograph.plans.forecast import SPILL_SETS, _LOSS, spill_table
 from barograph.plans.market import sql_r
-from barograph.plans.registry import register
+from barograph.plans.registry import register_reusing as register
+from barograph.plans.registry import shared
 from barograph.plans.tables import SERIES, rets
 from barograph.sources.bars import series_pairs
 
 LAGS = 2
 
 
+@shared()
 def panel(s, d):
     return rv_panel(rets(s, d))
 
@@ -67,6 +69,7 @@ register(
 )
 
 
+@shared()
 def shares(s, d):
     return sp.fevd(panel(s, d), SERIES, LAGS)
 
@@ -116,6 +119,7 @@ register(
 )
 
 
+@shared()
 def rolling(s, d):
     return sp.rolling_shares(panel(s, d), SERIES)
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 BARS = """bars AS (
- SELECT series_id, t, arg_min(p, (seq, p)) AS open, max(p) AS high, min(p) AS low,
-        arg_max(p, (seq, p)) AS close, sum(v) AS volume
+ SELECT series_id, t, arg_min(p, seq) AS open, max(p) AS high, min(p) AS low,
+        arg_max(p, seq) AS close, sum(v) AS volume
  FROM (SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS t,
-              l_orderkey * 8 + l_linenumber AS seq,
+              (l_orderkey * 8 + l_linenumber) * 65536 + (CAST(round(l_extendedprice * 100) AS BIGINT) * 50 + CAST(l_quantity AS BIGINT)) % 65536 AS seq,
               l_extendedprice / l_quantity AS p, l_quantity AS v FROM lineitem)
  GROUP BY series_id, t)"""
 

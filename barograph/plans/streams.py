@@ -8,7 +8,8 @@ from barograph.plans import sqltext as sq
 from barograph.plans.drift import MON
 from barograph.plans.forecast import HAR4, har, retrained
 from barograph.plans.market import sql_r
-from barograph.plans.registry import register
+from barograph.plans.registry import register_reusing as register
+from barograph.plans.registry import shared
 from barograph.plans.tables import rets, table
 from barograph.sources.bars import write_series
 from barograph.streaming import monitor, online, ticks
@@ -29,6 +30,7 @@ register(
 )
 
 
+@shared()
 def online_rows(s, d):
     return online.online_batch(har(s, d), HAR4)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barograph.operators import returns as ret
+from barograph.plans.registry import shared
 from barograph.sources.bars import daily_bars, to_ticks
 
 SERIES = ("A", "N", "R")
@@ -24,17 +25,23 @@ def lineitem_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         price=F.col("l_extendedprice") / F.col("l_quantity"),
         volume="l_quantity",
         seq=F.col("l_orderkey") * 8 + F.col("l_linenumber"),
+        # order and line number repeat in these tables: the line's amount and quantity decide
+        tie=F.round(F.col("l_extendedprice") * 100).cast("bigint") * 50
+        + F.col("l_quantity").cast("bigint"),
     )
 
 
+@shared(store=True)
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_bars(lineitem_ticks(spark, sf_dir))
 
 
+@shared()
 def rets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ret.with_returns(bars(spark, sf_dir))
 
 
+@shared()
 def vols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ret.with_volatility(rets(spark, sf_dir))
 

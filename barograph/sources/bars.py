@@ -57,28 +57,37 @@ def to_ticks(
     price: Column | str,
     volume: Column | str,
     seq: Column | str,
+    tie: Column | str | None = None,
 ) -> DataFrame:
-    """Map a raw table to ticks; ``seq`` orders the ticks of one day."""
+    """Map a raw table to ticks; the whole number ``seq`` orders the ticks of one day.
+
+    Where ``seq`` may repeat, ``tie`` (any whole number of the row) settles it: its low 16
+    bits are packed below ``seq``. The order stays one long, which lets the bar aggregation
+    run as a hash aggregation on fixed-width buffers; ordering by a struct would sort every
+    input partition.
+    """
+    order = col(seq).cast("bigint")
+    if tie is not None:
+        order = order * 65536 + F.pmod(col(tie).cast("bigint"), F.lit(65536))
     return df.select(
         F.col(key).alias(KEY),
         F.to_date(ts).alias("day"),
-        col(seq).cast("bigint").alias("seq"),
+        order.alias("seq"),
         col(price).cast("double").alias("price"),
         col(volume).cast("double").alias("volume"),
     )
 
 
 def daily_bars(ticks: DataFrame) -> DataFrame:
-    """Ticks to daily bars in one map-side combined aggregation.
+    """Ticks to daily bars in one map-side combined hash aggregation.
 
-    Equal ``seq`` values are settled by price, so the result does not depend on row order.
+    Whatever share of the ticks one series holds, a task ships one row per series and day.
     """
-    first_last = F.struct("seq", "price")
     return ticks.groupBy(KEY, F.col("day").alias(TIME)).agg(
-        F.min_by("price", first_last).alias("open"),
+        F.min_by("price", "seq").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", first_last).alias("close"),
+        F.max_by("price", "seq").alias("close"),
         F.sum("volume").alias("volume"),
     )
 

