@@ -95,6 +95,19 @@ def kurt_corrected(x: Column) -> Callable[[WindowSpec | None], Column]:
     return build
 
 
+def stack(first: DataFrame, *rest: DataFrame, missing: bool = False) -> DataFrame:
+    """Rows of several tables, matched by column name.
+
+    Spark 4.1 lets a union claim the partitioning its inputs were planned with. When AQE
+    then changes the partitions of one input, a grouping on top skips its shuffle and equal
+    keys stay apart, which gives wrong results. The claim is switched off for the session.
+    """
+    first.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    for df in rest:
+        first = first.unionByName(df, allowMissingColumns=missing)
+    return first
+
+
 def decayed_sum(
     df: DataFrame,
     columns: dict[str, Column | str],

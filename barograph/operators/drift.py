@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barograph.functions.windows import KEY, TIME, by_series, whole_series
+from barograph.functions.windows import KEY, TIME, by_series, stack, whole_series
 from barograph.operators.hypothesis import ks_two_sample
 
 REF_ROWS = 756
@@ -69,13 +69,12 @@ def psi(
 
 def against_reference(windows: DataFrame, value: str) -> DataFrame:
     """Sample rows of every window together with a copy of the reference rows."""
-    ids = windows.filter(F.col("window") >= 0).select(KEY, "window").distinct()
-    ref = windows.filter(F.col("window") == -1).select(KEY, F.col(value).alias("value"))
-    copies = ref.join(ids, KEY).select(KEY, "window", "value", F.lit(True).alias("is_ref"))
-    now = windows.filter(F.col("window") >= 0).select(
-        KEY, "window", F.col(value).alias("value"), F.lit(False).alias("is_ref")
-    )
-    return now.unionByName(copies)
+    last = F.max("window").over(whole_series())
+    is_ref = F.col("window") == -1
+    rows = windows.select(KEY, "window", F.col(value).alias("value"), is_ref.alias("is_ref"), last.alias("_last"))
+    rows = rows.filter(F.col("_last") >= 0)
+    targets = F.when(F.col("is_ref"), F.sequence(F.lit(0), F.col("_last"))).otherwise(F.array("window"))
+    return rows.select(KEY, F.explode(targets).alias("window"), "value", "is_ref")
 
 
 def jensen_shannon(both: DataFrame, bins: int = 50, eps: float = 1e-10) -> DataFrame:
@@ -199,7 +198,7 @@ def as_of(left: DataFrame, right: DataFrame, on: str, value: str, out: str) -> D
     b = right.select(KEY, F.col(on).alias("_t"), F.lit(0).alias("_side"),
                      F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
     w = Window.partitionBy(KEY).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn(out, F.last("_v", ignorenulls=True).over(w))
+    both = stack(a, b).withColumn(out, F.last("_v", ignorenulls=True).over(w))
     return both.filter(F.col("_side") == 1).select("_row.*", out)
 
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barograph.functions.windows import KEY, TIME, by_series, decayed_sum, trailing, whole_series
+from barograph.functions.windows import KEY, TIME, by_series, decayed_sum, stack, trailing, whole_series
 
 GRID_ALPHA = (0.03, 0.05, 0.10)
 GRID_GAMMA = (0.0, 0.05, 0.10)
@@ -127,7 +127,7 @@ def egarch_scan(df: DataFrame) -> DataFrame:
 
 
 def volatility_scan(df: DataFrame) -> DataFrame:
-    return garch_scan(df).unionByName(egarch_scan(df))
+    return stack(garch_scan(df), egarch_scan(df))
 
 
 def best_models(scan: DataFrame, *by: str, criterion: str = "aic") -> DataFrame:

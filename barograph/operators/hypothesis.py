@@ -279,9 +279,11 @@ def win_matrix(dm: DataFrame, models: Sequence[str]) -> DataFrame:
 
 def p_value_matrix(dm: DataFrame, models: Sequence[str]) -> DataFrame:
     """Symmetric matrix of p-values per series, 1 on the diagonal."""
-    one = dm.select(KEY, F.col("label1").alias("a"), F.col("label2").alias("b"), "p_value")
-    two = dm.select(KEY, F.col("label2").alias("a"), F.col("label1").alias("b"), "p_value")
-    wide = one.unionByName(two).groupBy(KEY, F.col("a").alias("model")).pivot("b", list(models)).agg(F.first("p_value"))
+    both = F.array(
+        F.struct(F.col("label1").alias("a"), F.col("label2").alias("b")),
+        F.struct(F.col("label2").alias("a"), F.col("label1").alias("b")),
+    )
+    wide = dm.select(KEY, "p_value", F.inline(both)).groupBy(KEY, F.col("a").alias("model")).pivot("b", list(models)).agg(F.first("p_value"))
     return wide.withColumns(
         {m: F.when(F.col("model") == m, 1.0).otherwise(F.col(m)) for m in models}
     )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barograph.functions import linalg
-from barograph.functions.windows import KEY, TIME, by_series, lag, whole_series
+from barograph.functions.windows import KEY, TIME, by_series, stack, whole_series
 from barograph.operators.evaluate import qlike, rmse, with_direction
 from barograph.operators.returns import HAR
 
@@ -200,7 +200,7 @@ def walk_forward_experiments(table: DataFrame, **options) -> DataFrame:
     out = None
     for mode, rolling in (("expanding", None), ("rolling", 756)):
         f = walk_forward(table, rolling=rolling, **options).withColumn("mode", F.lit(mode))
-        out = f if out is None else out.unionByName(f)
+        out = f if out is None else stack(out, f)
     return out
 
 
@@ -457,7 +457,7 @@ def combination_summary(
         weighted_combination(later, inverse_rmse_weights(predictions, share), "InvRMSE"),
         weighted_combination(later, granger_ramanathan_weights(predictions, models, share), "GrangerRam"),
     ):
-        both = both.unionByName(combo.select(*cols))
+        both = stack(both, combo.select(*cols))
     losses = both.groupBy(KEY, "model").agg(rmse().alias("rmse"), F.count(F.lit(1)).alias("n"))
     best = F.row_number().over(Window.partitionBy(KEY).orderBy("rmse", "model")) == 1
     return losses.withColumn("is_best", best)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barograph.functions import linalg
-from barograph.functions.windows import KEY, TIME, whole_series
+from barograph.functions.windows import KEY, TIME, stack, whole_series
 from barograph.operators.cross import target_correlations
 from barograph.operators.evaluate import qlike, rmse
 from barograph.operators.regression import ALPHA, fold_ids, train_test
@@ -214,8 +214,8 @@ def boosted_walk_forward(
             F.col("prediction").alias("pred"),
         )
         h = _importances(one, model, features, F.lit("all").alias(KEY), F.lit(i).alias("window"))
-        preds = p if preds is None else preds.unionByName(p)
-        history = h if history is None else history.unionByName(h)
+        preds = p if preds is None else stack(preds, p)
+        history = h if history is None else stack(history, h)
     return preds, history
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barograph.functions.windows import stack
 from barograph.operators import cross as cr
 from barograph.operators import evaluate as ev
 from barograph.operators import garch as ga
@@ -303,7 +304,7 @@ register(
 
 @shared()
 def all_predictions(s, d):
-    return naive(s, d).unionByName(har_predictions(s, d))
+    return stack(naive(s, d), har_predictions(s, d))
 
 
 FOUR = [*MODELS, "har"]
@@ -659,8 +660,9 @@ register(
 def _three_models(s, d):
     table = cr.regime_features(har(s, d), mixture(s, d)).withColumn("regime", F.col("regime_lag1"))
     cols = ["series_id", "t", "regime", "model", "actual", "pred"]
-    return rr.regime_predictions(table).select(*cols).unionByName(
-        se.boosted_tail(augmented(s, d), AUG, "regime_gbt", keep=["regime"]).select(*cols)
+    return stack(
+        rr.regime_predictions(table).select(*cols),
+        se.boosted_tail(augmented(s, d), AUG, "regime_gbt", keep=["regime"]).select(*cols),
     )
 
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barograph.functions.windows import KEY, TIME, col
+from barograph.functions.windows import KEY, TIME, col, stack
 
 BAR_SCHEMA = (
     "series_id string, t date, open double, high double, low double, close double, volume double"
@@ -143,9 +143,7 @@ def head_per_series(df: DataFrame, rows: int) -> DataFrame:
 
 def union_metrics(*frames: DataFrame) -> DataFrame:
     """Stack metric tables with differing columns and fold ``version`` into ``model``."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
+    out = stack(*frames, missing=True)
     if "version" in out.columns:
         out = out.withColumn("model", F.concat_ws("_", "model", "version")).drop("version")
     return out

@@ -184,3 +184,14 @@ def test_sentiment(spark):
     df = spark.createDataFrame([("Record PROFIT, no loss!",), ("nothing here",), ("weak sell",)], "text string")
     got = [r["compound_score"] for r in sentiment.scored(df, "text").collect()]
     assert got == [pytest.approx(1 / 3), 0.0, -1.0]
+
+
+def test_groups_over_a_union_stay_whole(spark):
+    # regrouping co-partitioned inputs must not leave one key in two groups
+    from barograph.functions.windows import stack
+
+    a = spark.range(2000).select((F.col("id") % 7).cast("string").alias("series_id"), F.col("id").alias("v"))
+    left = a.groupBy("series_id").agg(F.sum("v").alias("v"))
+    right = a.join(left.select("series_id"), "series_id").groupBy("series_id").agg(F.max("v").alias("v"))
+    out = stack(left, right).groupBy("series_id").agg(F.count("*").alias("n")).collect()
+    assert sorted(r["n"] for r in out) == [2] * 7
