@@ -146,7 +146,7 @@ def _dm_ctes(loss: str = "mse") -> tuple[str, ...]:
 
 register(
     "x5_newey_west",
-    "series_id:s label1:s label2:s n:i lags:i mean_d:2 hac_var:0",
+    "series_id:s label1:s label2:s n:i lags:i mean_d:2 hac_var:-4",
     lambda s, d: hy.newey_west(diffs(s, d), ["series_id", "label1", "label2"]),
     sql_r("SELECT * FROM nw", *_dm_ctes()),
 )

@@ -142,7 +142,7 @@ register(
 register(
     "q1_quality_report",
     "series_id:s rows:i start:d end:d missing_cells:i duplicate_dates:i non_bdays:i "
-    "neg_prices:i zero_volume:i bad_ohlc:i close_min:4 close_max:4 status:s",
+    "neg_prices:i zero_volume:i bad_ohlc:i close_min:8 close_max:8 status:s",
     lambda s, d: ql.quality_report(bars(s, d)),
     sq.query(
         B,
