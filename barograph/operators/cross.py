@@ -23,7 +23,6 @@ from barograph.functions.windows import (
     trailing2,
     whole_series,
 )
-from barograph.sources.bars import panel_pairs
 
 PANEL = "panel_id"
 

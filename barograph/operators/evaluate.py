@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barograph.functions.windows import KEY, TIME, by_series, lag, trailing, whole_series
+from barograph.functions.windows import KEY, TIME, by_series, trailing, whole_series
 
 FLOOR = 1e-8
 WEIGHTS = {"rmse": 0.35, "qlike": 0.30, "dir_acc": 0.20, "mae": 0.15}

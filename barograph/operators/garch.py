@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from barograph.functions.special import NORMAL_QUANTILE
 from barograph.functions.windows import KEY, TIME, by_series, decayed_sum, lag, whole_series
 from barograph.operators.hypothesis import christoffersen, kupiec
-from barograph.sources.bars import aligned_panel, panel_pairs, series_pairs
+from barograph.sources.bars import panel_pairs, series_pairs
 
 YEAR = 252
 PAIR = ("i", "j")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barograph.functions import linalg
-from barograph.functions.windows import KEY, TIME, stack, whole_series
+from barograph.functions.windows import KEY, TIME, stack
 from barograph.operators.cross import target_correlations
 from barograph.operators.evaluate import qlike, rmse
 from barograph.operators.regression import ALPHA, fold_ids, train_test

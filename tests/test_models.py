@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 import pytest
 from helpers import days, long_frame, ols, panel, ridge, wide_frame
-from pyspark.sql import functions as F
 
 from barograph.functions import linalg
 from barograph.operators import garch, hypothesis, regression, risk, selection, spillover
