@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm import bpe, topk
+from barograph.llm import bpe, jaccard, langid, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,11 @@ def op2_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op4_langid")
+def op4_langid(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op8_topk",
     """
@@ -52,3 +57,8 @@ def op2_bpe(spark, sf_dir):
 )
 def op8_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op9_jaccard")
+def op9_jaccard(spark, sf_dir):
+    return jaccard.link(table(spark, sf_dir, "documents"))
