@@ -49,11 +49,11 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8) if texts else np.zeros(0, np.uint8), start
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: list[bytes], separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every lower-cased word and the number of its text. Only A-Z is lower-cased."""
     data, start = joined(texts)
+    space = separators[data]
     data = LOWER[data]
-    space = SPACES[data]
     edge = np.flatnonzero(np.diff(space, prepend=True))
     begin, end = edge[::2], edge[1::2]
     return range_hash(prefix_sums(data), begin, end), np.searchsorted(start, begin, side="right") - 1

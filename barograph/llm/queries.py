@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm import bpe, jaccard, langid, topk
+import corpus_pipeline
+from barograph.llm import bpe, decontaminate, jaccard, langid, lines, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_lines")
+def op1_lines(spark, sf_dir):
+    kept = lines.drop_lines(table(spark, sf_dir, "documents"))
+    return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query("op2_bpe")
 def op2_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -38,6 +45,11 @@ def op4_langid(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+@query("op7_decontaminate")
+def op7_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query(
     "op8_topk",
     """
@@ -62,3 +74,13 @@ def op8_topk(spark, sf_dir):
 @query("op9_jaccard")
 def op9_jaccard(spark, sf_dir):
     return jaccard.link(table(spark, sf_dir, "documents"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
