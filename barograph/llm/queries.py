@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barograph.llm import bpe, decontaminate, jaccard, langid, lines, topk, toxicity
+from barograph.llm import archive, bpe, decontaminate, html, jaccard, langid, lines, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,11 +40,35 @@ def op2_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query(
+    "op3_warc",
+    """
+    WITH p AS (
+      SELECT page_id, sha1(coalesce(html, '')) AS payload_digest,
+             CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes
+      FROM pages),
+    m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p),
+    r AS (SELECT *, payload_bytes >= 1000 AND page_id < last AS revisits FROM m)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN revisits THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN revisits THEN last END AS refers_to
+    FROM r
+    """,
+)
+def op3_warc(spark, sf_dir):
+    return archive.archived(table(spark, sf_dir, "pages"))
+
+
 @query("op4_langid")
 def op4_langid(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+@query("op6_html")
+def op6_html(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op7_decontaminate")
 def op7_decontaminate(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
