@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barograph.llm import archive, bpe, decontaminate, html, jaccard, langid, lines, topk, toxicity
+from barograph.llm import archive, bpe, decontaminate, html, jaccard, langid, lines, repeats, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,6 +64,11 @@ def op4_langid(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+@query("op5_repeats")
+def op5_repeats(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op6_html")
 def op6_html(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
