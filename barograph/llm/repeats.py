@@ -191,6 +191,9 @@ def equal_strings(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     Places of an interval with equal bytes in front form an interval again. Only intervals of two places
     or more go on, up to ``length``, which the sort order covers.
     """
+    whole = len(data) - length
+    # a byte behind lets strings end with the last byte, a byte in front lets them start with the first
+    data = np.concatenate([np.zeros(1, np.uint8), data, np.zeros(1, np.uint8)])
     order = suffix_order(data)
     back = np.empty(len(data), dtype=np.int64)
     back[order] = np.arange(len(data))
@@ -215,7 +218,9 @@ def equal_strings(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
         live, group = live[several], group[several]
         if not len(live):
             break
-    return order[live], group
+    place = order[live] - 1
+    inside = (place >= 0) & (place <= whole)
+    return place[inside], group[inside]
 
 
 def smallest_ids(texts: list[bytes], least: np.ndarray) -> list[np.ndarray]:
@@ -225,9 +230,8 @@ def smallest_ids(texts: list[bytes], least: np.ndarray) -> list[np.ndarray]:
     at = np.repeat(start[:-1] - np.cumsum(count) + count, count) + np.arange(count.sum())
     owner = np.repeat(np.arange(len(texts)), count)
     number = np.full(len(data), -1, dtype=np.int64)
-    # one byte in front, so that the first string has a byte to be reached from
-    place, group = equal_strings(np.concatenate([np.zeros(1, np.uint8), data]), LENGTH)
-    number[place[place > 0] - 1] = group[place > 0]
+    place, group = equal_strings(data, LENGTH)
+    number[place] = group
     own = number[at]
     best = least[owner].copy()
     if (own >= 0).any():
