@@ -35,7 +35,7 @@ from barograph.sources.checkpoint import stored
 
 BLOCK_BYTES = 6 << 20
 BITMAP_WORDS = 16
-SMALL_TILE = 8
+SMALL_TILE = 4
 TILE = 1_024
 BUCKET_ROWS = 40_000
 KEY_SHIFT = np.uint64(16)  # frequencies are counted on the upper 48 bits
@@ -154,8 +154,8 @@ def leading_sets(base: DataFrame, shared: DataFrame) -> DataFrame:
 def proposals(tiles: DataFrame, rows: int, everything: bool) -> DataFrame:
     """``a, b`` with a < b: pairs of different components whose bitmaps leave the threshold in reach.
 
-    Unless ``everything`` is asked for, a set of a tile with more than SMALL_TILE sets proposes only the
-    nearest earlier set in the order of sizes.
+    Unless ``everything`` is asked for, a set of a tile with more than SMALL_TILE sets proposes only the first
+    set of the tile, in the order of sizes and ids, that passes: near copies propose the same one in all tiles.
     """
     buckets = 1 + rows // BUCKET_ROWS
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -166,15 +166,17 @@ def proposals(tiles: DataFrame, rows: int, everything: bool) -> DataFrame:
         order = np.lexsort((col["doc"], col["n"], col["tile"]))
         col = {c: v[order] for c, v in col.items()}
         bits = bits[order]
-        size = np.diff(np.append(np.flatnonzero(np.diff(col["tile"], prepend=col["tile"][0] - 1)), len(order)))
-        left = np.concatenate([np.arange(k - 1, -1, -1) for k in size.tolist()])  # later rows of the same tile
+        start = np.flatnonzero(np.diff(col["tile"], prepend=col["tile"][0] - 1))
+        size = np.diff(np.append(start, len(order)))
+        first, place = np.repeat(start, size), np.arange(len(order)) - np.repeat(start, size)
         thrifty = (col["sets"] > SMALL_TILE) & (not everything)
-        taken = np.zeros(len(order), dtype=bool)
+        live = np.arange(len(order))
         found = []
-        for d in range(1, int(size.max(initial=1))):
-            i = np.flatnonzero(left >= d)
-            j = i + d
-            ok = ~(taken[j] & thrifty[j]) & (5 * col["n"][i] >= 4 * col["n"][j])
+        for p in range(int(size.max(initial=1)) - 1):
+            live = live[place[live] > p]
+            j = live
+            i = first[j] + p
+            ok = 5 * col["n"][i] >= 4 * col["n"][j]
             ok &= col["component"][i] != col["component"][j]
             ok &= col["upper"][i] | col["upper"][j]  # two sets of the lower band meet in their own tile
             ok &= col["single"][i] | (col["block"][i] != col["block"][j])
@@ -182,8 +184,8 @@ def proposals(tiles: DataFrame, rows: int, everything: bool) -> DataFrame:
             apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
             near = 9 * apart <= col["n"][i] + col["n"][j]
             i, j = i[near], j[near]
-            taken[j] = True
             found.append((col["doc"][i], col["doc"][j]))
+            live = live[~np.isin(live, j[thrifty[j]], assume_unique=True)]
         if not found:
             return schema.empty_table()
         a, b = (np.concatenate(c) for c in zip(*found))
