@@ -1,14 +1,20 @@
-"""Ridge forecasts that learn one row at a time, as keyed state.
+"""Ridge forecasts that learn in time order, as keyed state.
 
-The learners are order-sensitive: rows are taken in time order inside a key and
-micro-batch, a forecast is made before its row is learned, and a row that is not newer
-than the last one learned is dropped. State per key is a few small arrays.
-The batch form folds one series at a time, bounded by the calendar.
+Two learners see the same rows. The EWMA ridge solves a ridge regression on decayed moments of the
+normalised features; the SGD ridge takes a gradient step per row. Both forecast a row from the rows before
+it. All moments are linear recursions, so a batch of rows is one pass of array operations: running means,
+decayed sums, and one stacked solve for the weights after every row. Only the gradient steps, whose size
+depends on the forecast before, go row by row.
+
+A row that isn't newer than the last one learned of its key can't be learned any more; it is left out and
+counted in ``late``. State per key is a few small arrays and is kept as long as the key may send rows. The
+batch form takes one series at a time, bounded by the calendar.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,84 +28,113 @@ from barograph.operators.evaluate import rmse
 BURN_IN = 252
 OUTPUT = (
     f"{KEY} string, {TIME} date, step bigint, actual double, pred_ewma double, pred_sgd double, "
-    "weights array<double>"
+    "weights array<double>, late bigint"
 )
-# step, last day, then the arrays of both learners
 STATE = (
-    "step bigint, last_day string, mean array<double>, spread array<double>, gram array<double>, "
-    "cross array<double>, weights array<double>, sgd_mean array<double>, sgd_spread array<double>, "
-    "sgd_weights array<double>, sgd_bias double"
+    "step bigint, late bigint, last_day string, mean array<double>, spread array<double>, slow array<double>, "
+    "gram array<double>, cross array<double>, sgd array<double>"
 )
 EWMA = {"alpha": 10.0, "decay": 0.97}
 SGD = {"alpha": 0.01, "rate": 0.005, "fade": 1e-4, "decay": 0.99}
 TINY = 1e-8
-
-
-def fresh_state(k: int) -> dict:
-    zero = np.zeros(k)
-    return {
-        "step": 0, "last_day": "", "mean": zero, "spread": zero, "gram": np.zeros((k, k)),
-        "cross": zero, "weights": zero, "sgd_mean": zero, "sgd_spread": zero, "sgd_weights": zero,
-        "sgd_bias": 0.0,
-    }
-
-
-def learn(s: dict, x: np.ndarray, y: float) -> None:
-    """Move both learners over one row."""
-    s["step"] += 1
-    n = s["step"]
-    gap = x - s["mean"]
-    s["mean"] = s["mean"] + gap / n
-    moved = gap * (x - s["mean"])
-    d = EWMA["decay"]
-    s["spread"] = moved if n == 1 else d * s["spread"] + (1 - d) * moved
-    z = (x - s["mean"]) / np.sqrt(np.maximum(s["spread"], TINY))
-    s["gram"] = d * s["gram"] + (1 - d) * np.outer(z, z)
-    s["cross"] = d * s["cross"] + (1 - d) * z * y
-    s["weights"] = np.linalg.solve(s["gram"] + EWMA["alpha"] * np.eye(len(x)), s["cross"])
-
-    gap = x - s["sgd_mean"]
-    s["sgd_mean"] = s["sgd_mean"] + gap / n
-    d = SGD["decay"]
-    s["sgd_spread"] = d * s["sgd_spread"] + (1 - d) * gap * (x - s["sgd_mean"])
-    z = (x - s["sgd_mean"]) / np.sqrt(np.maximum(s["sgd_spread"], TINY))
-    rate = SGD["rate"] / (1 + SGD["fade"] * n)
-    err = y - (s["sgd_weights"] @ z + s["sgd_bias"])
-    s["sgd_weights"] = s["sgd_weights"] + rate * 2 * (err * z - SGD["alpha"] * s["sgd_weights"])
-    s["sgd_bias"] = s["sgd_bias"] + rate * 2 * err
-
-
-def forecast(s: dict, x: np.ndarray) -> tuple[float, float]:
-    if s["step"] < 3:
-        return (float(s["cross"].mean()) if s["cross"].any() else 0.0), 0.0
-    z = (x - s["mean"]) / np.sqrt(np.maximum(s["spread"], TINY))
-    zs = (x - s["sgd_mean"]) / np.sqrt(np.maximum(s["sgd_spread"], TINY))
-    return float(s["weights"] @ z), float(s["sgd_weights"] @ zs + s["sgd_bias"])
-
-
-def fold(pdf: pd.DataFrame, s: dict, features: Sequence[str], burn_in: int) -> pd.DataFrame:
-    """Forecast then learn every row newer than the state, in time order."""
-    pdf = pdf.sort_values(TIME)
-    rows = []
-    for key, day, y, *x in pdf[[KEY, TIME, "target", *features]].itertuples(index=False):
-        if str(day) <= s["last_day"]:
-            continue
-        x = np.asarray(x, float)
-        ready = s["step"] >= burn_in
-        ewma, sgd = forecast(s, x) if ready else (None, None)
-        rows.append((key, day, s["step"], y, ewma, sgd, s["weights"].tolist() if ready else None))
-        learn(s, x, y)
-        s["last_day"] = str(day)
-    return pd.DataFrame(
-        rows, columns=[KEY, TIME, "step", "actual", "pred_ewma", "pred_sgd", "weights"]
+STRETCH = 256
+
+
+class Moments(NamedTuple):
+    """What is known after ``step`` rows; ``sgd`` holds the weights and, last, the intercept."""
+
+    step: int
+    late: int
+    last_day: str
+    mean: np.ndarray
+    spread: np.ndarray
+    slow: np.ndarray
+    gram: np.ndarray
+    cross: np.ndarray
+    sgd: np.ndarray
+
+
+def nothing_seen(k: int) -> Moments:
+    return Moments(0, 0, "", *np.zeros((3, k)), np.zeros((k, k)), np.zeros(k), np.zeros(k + 1))
+
+
+def decayed(x: np.ndarray, decay: float, start: np.ndarray) -> np.ndarray:
+    """``out_t = decay * out_(t-1) + (1 - decay) * x_t``, the first before it being ``start``; row 0 is ``start``."""
+    out = [start[None]]
+    for a in range(0, len(x), STRETCH):
+        part = x[a : a + STRETCH]
+        power = (decay ** np.arange(1, len(part) + 1)).reshape(-1, *[1] * (x.ndim - 1))
+        out.append(power * (out[-1][-1] + (1 - decay) * np.cumsum(part / power, axis=0)))
+    return np.concatenate(out)
+
+
+def normalised(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    return (x - mean) / np.sqrt(np.maximum(spread, TINY))
+
+
+def gradient_steps(inputs: np.ndarray, y: np.ndarray, first: int, start: np.ndarray) -> np.ndarray:
+    """Weights and intercept before each row and after the last one; inputs end with a one."""
+    shrink = np.append(np.full(inputs.shape[1] - 1, SGD["alpha"]), 0.0)
+    size = 2 * SGD["rate"] / (1 + SGD["fade"] * np.arange(first, first + len(y)))
+    path = np.vstack([start, np.zeros_like(inputs)])
+    for t, u in enumerate(inputs):
+        path[t + 1] = path[t] + size[t] * ((y[t] - path[t] @ u) * u - shrink * path[t])
+    return path
+
+
+def advance(seen: Moments, x: np.ndarray, y: np.ndarray) -> tuple[Moments, np.ndarray, np.ndarray, np.ndarray]:
+    """Learn rows in order: the new moments, and per row both forecasts and the EWMA weights before it."""
+    count = seen.step + np.arange(len(y) + 1)[:, None]
+    mean = (seen.step * seen.mean + np.vstack([np.zeros(x.shape[1]), np.cumsum(x, axis=0)])) / np.maximum(count, 1)
+    moved = (x - mean[:-1]) * (x - mean[1:])
+    spread = decayed(moved, EWMA["decay"], seen.spread)
+    slow = decayed(moved, SGD["decay"], seen.slow)
+    z = normalised(x, mean[1:], spread[1:])
+    gram = decayed(z[:, :, None] * z[:, None, :], EWMA["decay"], seen.gram)
+    cross = decayed(z * y[:, None], EWMA["decay"], seen.cross)
+    weights = np.linalg.solve(gram + EWMA["alpha"] * np.eye(x.shape[1]), cross[..., None])[..., 0]
+    ahead = normalised(x, mean[:-1], spread[:-1])
+    one = np.ones((len(y), 1))
+    path = gradient_steps(np.hstack([normalised(x, mean[1:], slow[1:]), one]), y, seen.step + 1, seen.sgd)
+    ahead_slow = np.hstack([normalised(x, mean[:-1], slow[:-1]), one])
+    after = seen._replace(
+        step=seen.step + len(y), mean=mean[-1], spread=spread[-1], slow=slow[-1], gram=gram[-1], cross=cross[-1], sgd=path[-1]
     )
+    return after, (weights[:-1] * ahead).sum(1), (path[:-1] * ahead_slow).sum(1), weights[:-1]
+
+
+def fold(pdf: pd.DataFrame, seen: Moments, features: Sequence[str], burn_in: int) -> tuple[pd.DataFrame, Moments]:
+    """Forecast and learn the rows that are newer than the state, one per day, in time order."""
+    pdf = pdf.sort_values(TIME, kind="stable")
+    day = pdf[TIME].astype(str)
+    new = pdf[(day > seen.last_day) & ~day.duplicated()]
+    seen = seen._replace(late=seen.late + len(pdf) - len(new))
+    y = new["target"].to_numpy(float)
+    before = seen.step
+    seen, ewma, sgd, weights = advance(seen, new[list(features)].to_numpy(float), y)
+    if len(new):
+        seen = seen._replace(last_day=str(new[TIME].iloc[-1]))
+    step = np.arange(before, seen.step)
+    ready = step >= burn_in
+    return pd.DataFrame(
+        {
+            KEY: new[KEY].to_numpy(),
+            TIME: new[TIME].to_numpy(),
+            "step": step,
+            "actual": y,
+            "pred_ewma": np.where(ready, ewma, np.nan),
+            "pred_sgd": np.where(ready, sgd, np.nan),
+            "weights": [w.tolist() if r else None for w, r in zip(weights, ready)],
+            "late": seen.late,
+        }
+    ), seen
 
 
 def online_batch(table: DataFrame, features: Sequence[str], burn_in: int = BURN_IN) -> DataFrame:
     features = list(features)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fold(pdf, fresh_state(len(features)), features, burn_in)
+        return fold(pdf, nothing_seen(len(features)), features, burn_in)[0]
 
     return table.select(KEY, TIME, "target", *features).groupBy(KEY).applyInPandas(run, OUTPUT)
 
@@ -110,29 +145,12 @@ def online_stream(stream: DataFrame, features: Sequence[str], burn_in: int = BUR
     k = len(features)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = nothing_seen(k)
         if state.exists:
-            step, day, mean, spread, gram, cross, w, sm, ss, sw, sb = state.get
-            s = {
-                "step": step, "last_day": day, "gram": np.asarray(gram, float).reshape(k, k), "sgd_bias": sb,
-                **{
-                    name: np.asarray(v, float)
-                    for name, v in (
-                        ("mean", mean), ("spread", spread), ("cross", cross), ("weights", w),
-                        ("sgd_mean", sm), ("sgd_spread", ss), ("sgd_weights", sw),
-                    )
-                },
-            }
-        else:
-            s = fresh_state(k)
-        out = fold(pd.concat(list(batches)), s, features, burn_in)
-        state.update(
-            (
-                s["step"], s["last_day"], s["mean"].tolist(), s["spread"].tolist(),
-                s["gram"].ravel().tolist(), s["cross"].tolist(), s["weights"].tolist(),
-                s["sgd_mean"].tolist(), s["sgd_spread"].tolist(), s["sgd_weights"].tolist(),
-                float(s["sgd_bias"]),
-            )
-        )
+            step, late, day, *arrays = state.get
+            seen = Moments(step, late, day, *(np.array(v, float).reshape(old.shape) for v, old in zip(arrays, seen[3:])))
+        out, seen = fold(pd.concat(list(batches)), seen, features, burn_in)
+        state.update((*seen[:3], *(v.ravel().tolist() for v in seen[3:])))
         yield out
 
     return (
