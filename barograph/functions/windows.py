@@ -114,7 +114,6 @@ def decayed_sum(
     decay: float | Column,
     keys: Sequence[str] = (KEY,),
     order: str = TIME,
-    least_decay: float | None = None,
 ) -> DataFrame:
     """Add ``out_t = sum over s <= t of decay^(t-s) * x_s`` for every ``out: x``.
 
@@ -122,15 +121,17 @@ def decayed_sum(
     Rows are numbered per series and cut into stretches short enough that
     ``decay^-i`` stays near 1e150. One stretch later the weight is 1e-150, so a row
     needs its own stretch plus the closing value of the one before: nothing overflows
-    and series of any length work. A decay that differs between keys is passed as a column
-    together with its smallest value; the largest must then leave nothing after one
-    stretch (0.8 to 0.98 does).
+    and series of any length work. A decay in (0, 1) that differs between keys is a
+    column; each key's stretch follows its own decay. Outside (0, 1) it raises.
     """
     if not isinstance(decay, Column):
-        least_decay, decay = decay, F.lit(decay)
-    if least_decay is None or not 0.0 < least_decay < 1.0:
-        raise ValueError(f"decay must lie in (0, 1), got {least_decay}")
-    stretch = max(2, int(345.0 / abs(math.log(least_decay))))
+        if not 0.0 < decay < 1.0:
+            raise ValueError(f"decay must lie in (0, 1), got {decay}")
+        decay = F.lit(decay)
+    valid = F.when((decay > 0) & (decay < 1), decay).otherwise(
+        F.raise_error(F.concat(F.lit("decay must lie in (0, 1), got "), decay.cast("string"))).cast("double")
+    )
+    stretch = F.greatest(F.lit(2), F.floor(345.0 / F.abs(F.log(valid)))).cast("bigint")
     line = by_series(*keys, order=order)
     df = df.withColumn("_pos", F.row_number().over(line) - 1)
     df = df.withColumns(

@@ -59,9 +59,7 @@ def garch_variances(df: DataFrame) -> DataFrame:
     rise = (F.col("alpha") + F.when(e1 < 0, F.col("gamma")).otherwise(0.0)) * e1 * e1
     feed = F.when(F.row_number().over(w) == 1, F.col("s2")).otherwise(F.col("omega") + rise)
     rows = rows.withColumn("_feed", feed)
-    return decayed_sum(
-        rows, {"h": F.col("_feed")}, F.col("beta"), keys, least_decay=min(GRID_BETA)
-    ).drop("_feed")
+    return decayed_sum(rows, {"h": F.col("_feed")}, F.col("beta"), keys).drop("_feed")
 
 
 def _scored(rows: DataFrame, n_params: Column) -> DataFrame:

@@ -107,16 +107,27 @@ def qq_line(points: DataFrame) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
-    """Counts and density over ``bins`` equal bins of [low, high]; the top edge is included."""
-    width = (high - low) / bins
+def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
+    """Counts and density over ``bins`` equal bins of each series' own range; the top edge is included.
+
+    Every row with a value falls into a bin. A series of one repeated value has a range of one around it.
+    """
     x = F.col(value)
-    inside = df.filter((x >= low) & (x <= high))
-    bucket = F.least(F.floor((x - low) / width), F.lit(bins - 1))
+    rows = df.filter(x.isNotNull())
+    span = rows.groupBy(KEY).agg(F.min(x).alias("_low"), F.max(x).alias("_high"))
+    flat = F.col("_low") == F.col("_high")
+    span = span.select(
+        KEY,
+        F.when(flat, F.col("_low") - 0.5).otherwise(F.col("_low")).alias("_low"),
+        F.when(flat, F.lit(1.0)).otherwise(F.col("_high") - F.col("_low")).alias("_range"),
+    ).withColumn("_width", F.col("_range") / bins)
+    bucket = F.least(F.floor((x - F.col("_low")) / F.col("_width")), F.lit(bins - 1))
     return (
-        inside.groupBy(KEY, bucket.alias("bin"))
+        rows.join(span, KEY)
+        .groupBy(KEY, "_width", bucket.alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("density", F.col("n") / F.sum("n").over(whole_series()) / width)
+        .withColumn("density", F.col("n") / F.sum("n").over(whole_series()) / F.col("_width"))
+        .drop("_width")
     )
 
 

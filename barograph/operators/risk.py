@@ -147,7 +147,7 @@ def dcc_grid(
     df = pairs.select(TIME, *PAIR, "x", "y", F.inline(grid))
     keys = ("a", "b", *PAIR)
     df = _dcc_feed(df, F.col("a"), F.col("b"), keys)
-    df = decayed_sum(df, {"q": F.col("_feed")}, F.col("b"), keys, least_decay=min(b_grid))
+    df = decayed_sum(df, {"q": F.col("_feed")}, F.col("b"), keys)
     corr = to_correlation(df.select("a", "b", TIME, *PAIR, "x", "q"), "q", "corr", "a", "b")
     order = series_pairs(series, diagonal=True)
 

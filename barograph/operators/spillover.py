@@ -142,7 +142,9 @@ def irf(panel: DataFrame, series: Sequence[str], lags: int, steps: int = 20) ->
     )
 
 
-def _shares(k: int, lags: int, horizon: int):
+def _shares(k: int, lags: int, horizon: int, alone: bool = False):
+    """Shares of a fit; where there is none they are null, or with ``alone`` each series explains itself equally."""
+
     @F.pandas_udf("array<struct<i:int,j:int,share:double>>")
     def shares(n: pd.Series, mean: pd.Series, comoment: pd.Series) -> pd.Series:
         out = []
@@ -154,9 +156,9 @@ def _shares(k: int, lags: int, horizon: int):
                 coefs, _, sigma = var_algebra(count, mu, cov, k, lags)
                 s = variance_shares(coefs, sigma, horizon)
             except np.linalg.LinAlgError:
-                s = np.eye(k) / k
+                s = np.eye(k) / k if alone else None
             out.append(
-                [{"i": i, "j": j, "share": float(s[i, j])} for i in range(k) for j in range(k)]
+                [{"i": i, "j": j, "share": None if s is None else float(s[i, j])} for i in range(k) for j in range(k)]
             )
         return pd.Series(out)
 
@@ -237,7 +239,7 @@ def rolling_shares(
     com = F.array(
         *[F.col(f"p{i}_{j}") / n - F.col(f"s{i}") / n * F.col(f"s{j}") / n for i, j in pairs]
     )
-    out = run.select(TIME, F.inline(_shares(k, 1, horizon)(n.cast("bigint"), mean, com)))
+    out = run.select(TIME, F.inline(_shares(k, 1, horizon, alone=True)(n.cast("bigint"), mean, com)))
     return out.select(
         TIME, _names(series, F.col("i")).alias("i"), _names(series, F.col("j")).alias("j"), "share"
     )

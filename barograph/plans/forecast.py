@@ -364,13 +364,13 @@ BTRAIN = (
 register(
     "f22_pearson_ranking",
     "series_id:s feature:s pearson_abs_corr:6 rank_pearson:i",
-    lambda s, d: se.pearson_ranking(base_train(s, d), BASE, 10),
+    lambda s, d: se.pearson_ranking(base_train(s, d), BASE, None),
     sql_r(
         "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(pearson_abs_corr, 9) DESC, feature) AS rank_pearson FROM ("
         + " UNION ALL ".join(
             f"SELECT series_id, '{c}' AS feature, abs(corr({c}, target)) AS pearson_abs_corr FROM btr GROUP BY series_id" for c in BASE
         )
-        + ")) WHERE rank_pearson <= 10",
+        + "))",
         *BTRAIN,
     ),
 )
@@ -380,7 +380,7 @@ _NT = ", ".join(
 register(
     "f23_mutual_information",
     "series_id:s feature:s mutual_info:6 rank_mi:i",
-    lambda s, d: se.mutual_information_ranking(base_train(s, d), BASE),
+    lambda s, d: se.mutual_information_ranking(base_train(s, d), BASE, top_k=None),
     sql_r(
         "SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(mutual_info, 9) DESC, feature) AS rank_mi FROM (SELECT series_id, feature, sum(c / n * ln(c * n / (nx * ny))) AS mutual_info FROM ("
         "SELECT *, sum(c) OVER (PARTITION BY series_id, feature) AS n, sum(c) OVER (PARTITION BY series_id, feature, b) AS nx, sum(c) OVER (PARTITION BY series_id, feature, target) AS ny FROM ("
@@ -395,7 +395,7 @@ register(
 register(
     "f24_tree_gain_ranking",
     "series_id:s feature:s tree_gain:6 rank_tree:i",
-    lambda s, d: se.tree_gain_ranking(base_train(s, d), BASE),
+    lambda s, d: se.tree_gain_ranking(base_train(s, d), BASE, top_k=None),
 )
 
 
@@ -412,7 +412,7 @@ register(
 )
 
 
-def merged_rankings(s, d, top_k=10):
+def merged_rankings(s, d, top_k=None):
     train = base_train(s, d)
     return se.merge_rankings(
         se.pearson_ranking(train, BASE, top_k),

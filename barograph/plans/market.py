@@ -251,13 +251,21 @@ register(
 register(
     "q6_histogram",
     "series_id:s bin:i n:i density:8",
-    lambda s, d: ql.histogram(rets(s, d), "log_return", -8.0, 8.0, 90),
+    lambda s, d: ql.histogram(rets(s, d), "log_return", 90),
     sql_r(
-        "SELECT series_id, bin, n, n / sum(n) OVER (PARTITION BY series_id) / (16.0 / 90) AS density "
-        "FROM (SELECT series_id, least(CAST(floor((log_return + 8.0) / (CAST(16.0 AS DOUBLE) / 90)) AS BIGINT), 89) "
-        "AS bin, count(*) AS n FROM r WHERE log_return BETWEEN -8 AND 8 GROUP BY 1, 2)"
+        "SELECT series_id, bin, n, n / sum(n) OVER (PARTITION BY series_id) / width AS density FROM ("
+        "SELECT series_id, width, least(CAST(floor((x - low) / width) AS BIGINT), 89) AS bin, count(*) AS n FROM ("
+        "SELECT r.series_id, log_return AS x, m.least AS low, (m.most - m.least) / 90 AS width FROM r JOIN ("
+        "SELECT series_id, min(log_return) AS least, max(log_return) AS most FROM r GROUP BY 1) m "
+        "ON r.series_id = m.series_id WHERE log_return IS NOT NULL) GROUP BY 1, 2, 3)"
     ),
 )
+register(
+    "q6_histogram_rows",
+    "series_id:s binned:i",
+    lambda s, d: ql.histogram(rets(s, d), "log_return", 90).groupBy("series_id").agg(F.sum("n").alias("binned")),
+    sql_r("SELECT series_id, count(log_return) AS binned FROM r GROUP BY 1"),
+)
 register(
     "q7_density_overlay",
     "series_id:s mean:8 std:6 kurt:5 t_df:i t_scale:6",

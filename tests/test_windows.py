@@ -29,12 +29,21 @@ def test_decayed_sum_over_many_stretches(spark):
 def test_decayed_sum_with_a_decay_per_key(spark):
     pdf = pd.DataFrame({"series_id": ["A"] * 300 + ["B"] * 300, "t": days(300) * 2, "value": 1.0,
                         "d": [0.5] * 300 + [0.9] * 300})
-    df = decayed_sum(spark.createDataFrame(pdf), {"v": "value"}, F.col("d"), least_decay=0.5)
+    df = decayed_sum(spark.createDataFrame(pdf), {"v": "value"}, F.col("d"))
     last = df.groupBy("series_id").agg(F.max_by("v", "t").alias("v")).toPandas().set_index("series_id")["v"]
     assert last["A"] == pytest.approx(2.0)
     assert last["B"] == pytest.approx(10.0, rel=1e-9)
 
 
+def test_slow_decay_beside_a_fast_one(spark):
+    n = 6000
+    pdf = pd.DataFrame({"series_id": ["A"] * n + ["B"] * n, "t": days(n) * 2, "value": 1.0, "d": [0.8] * n + [0.999] * n})
+    df = decayed_sum(spark.createDataFrame(pdf), {"v": "value"}, F.col("d"))
+    last = df.groupBy("series_id").agg(F.max_by("v", "t").alias("v")).toPandas().set_index("series_id")["v"]
+    assert last["A"] == pytest.approx(5.0)
+    assert last["B"] == pytest.approx((1 - 0.999**n) / 0.001, rel=1e-9)
+
+
 def test_decay_out_of_range(spark):
     df = spark.createDataFrame(long_frame(np.ones((3, 1)), "A"))
     with pytest.raises(ValueError):
