@@ -15,6 +15,13 @@ BLOCK_BYTES = 6 << 20
 KEY_SHIFT = np.uint64(16)  # frequencies are counted on the upper 48 bits of a key
 
 
+def sliced(batches, rows: int = 1_024):
+    """Smaller Arrow batches, so that few rows stand in Python's memory at a time."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def with_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
     """``doc_id, text, block`` and the number of blocks, so that a block has about BLOCK_BYTES."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

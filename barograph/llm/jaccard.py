@@ -29,24 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barograph.llm.blocks import KEY_SHIFT, answered, places, shared_frequencies, with_blocks
 from barograph.llm.graph import components
-from barograph.llm.hashing import mix, pack, powers, shingle_sets, signature, unpack
+from barograph.llm.hashing import mix, shingle_sets, signature
 from barograph.sources.checkpoint import stored
 
-BLOCK_BYTES = 6 << 20
 BITMAP_WORDS = 16
 SMALL_TILE = 4
 TILE = 1_024
 BUCKET_ROWS = 40_000
-KEY_SHIFT = np.uint64(16)  # frequencies are counted on the upper 48 bits
-
-
-def with_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``doc_id, text, block`` and the number of blocks, so that a block has about BLOCK_BYTES."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + size // BLOCK_BYTES
-    return texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")), blocks
 
 
 def block_sets(table: pa.Table):
@@ -62,46 +53,9 @@ def block_sets(table: pa.Table):
         seen.add(mark)
 
 
-def shared_frequencies(base: DataFrame, blocks: int) -> DataFrame:
-    """``block, part, keys, df``: for every block its shingles that occur in two sets or more."""
-    sent = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("df", pa.binary())])
-
-    def send(table: pa.Table) -> pa.Table:
-        sets = [s for _, s, _, first in block_sets(table) if first]
-        if not sets:
-            return sent.empty_table()
-        keys, count = np.unique(np.concatenate(sets) >> KEY_SHIFT, return_counts=True)
-        count = np.minimum(count, 65_535).astype("<u2")
-        edge = np.searchsorted((keys >> np.uint64(16)) * np.uint64(blocks) >> np.uint64(32), np.arange(blocks + 1))
-        block = table.column("block")[0].as_py()
-        rows = [
-            (p, block, pack(keys[a:b]), count[a:b].tobytes())
-            for p, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist()))
-            if b > a
-        ]
-        return pa.table([list(c) for c in zip(*rows)], schema=sent)
-
-    def answer(table: pa.Table) -> pa.Table:
-        own = [unpack(k) for k in table.column("keys").to_pylist()]
-        keys = np.concatenate(own)
-        count = np.concatenate([np.frombuffer(c, "<u2") for c in table.column("df").to_pylist()]).astype(np.int64)
-        order = np.argsort(keys)
-        first = np.flatnonzero(np.diff(keys[order], prepend=keys[order[0]] ^ np.uint64(1)))
-        total = np.add.reduceat(count[order], first)
-        df = np.empty(len(keys), dtype=np.int64)
-        df[order] = np.repeat(total, np.diff(first, append=len(keys)))
-        df = np.minimum(df, (1 << 32) - 1)
-        rows, at = [], 0
-        part = table.column("part")[0].as_py()
-        for block, k in zip(table.column("block").to_pylist(), own):
-            d = df[at : at + len(k)]
-            at += len(k)
-            if (d > 1).any():
-                rows.append((part, block, pack(k[d > 1]), d[d > 1].astype("<u4").tobytes()))
-        return pa.table([list(c) for c in zip(*rows)], schema=sent) if rows else sent.empty_table()
-
-    kind = "part int, block int, keys binary, df binary"
-    return base.groupBy("block").applyInArrow(send, kind).groupBy("part").applyInArrow(answer, kind)
+def first_sets(table: pa.Table) -> list[np.ndarray]:
+    """The different sets of a block."""
+    return [s for _, s, _, first in block_sets(table) if first]
 
 
 def bitmap(values: np.ndarray) -> bytes:
@@ -125,16 +79,13 @@ def leading_sets(base: DataFrame, shared: DataFrame) -> DataFrame:
     )
 
     def lead(left: pa.Table, right: pa.Table) -> pa.Table:
-        answers = sorted(zip(*(right.column(c).to_pylist() for c in ("part", "keys", "df"))))
-        keys = np.concatenate([np.zeros(0, np.uint64)] + [unpack(k) for _, k, _ in answers])
-        df = np.concatenate([np.zeros(0, "<u4")] + [np.frombuffer(d, "<u4") for _, _, d in answers])
+        keys, df = answered(right)
         rows = []
         for doc, s, mark, first in block_sets(left):
             tokens = None
-            if first and len(keys):
-                key = s >> KEY_SHIFT
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                known = np.flatnonzero(keys[at] == key)
+            if first:
+                known, at = places(keys, s >> KEY_SHIFT)
+                known = np.flatnonzero(known)
                 spare = len(s) - (4 * len(s) + 4) // 5 + 1 - (len(s) - len(known))
                 if spare > 0:
                     tokens = s[known[np.argsort(df[at[known]], kind="stable")[:spare]]].astype(np.int64).tolist()
@@ -244,7 +195,7 @@ def link(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
     spark = docs.sparkSession
     base, blocks = with_blocks(docs)
-    rows = stored(leading_sets(base, shared_frequencies(base, blocks)), "sets")
+    rows = stored(leading_sets(base, shared_frequencies(base, blocks, first_sets)), "sets")
     classes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("class"))
     sets = rows.filter("tokens IS NOT NULL").join(classes, "sig").filter("doc_id = class")
     sets = stored(sets.dropDuplicates(["doc_id"]).select("doc_id", "n", "tokens", "bits", "items"), "leading")
