@@ -64,7 +64,37 @@ def op4_langid(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-@query("op5_repeats")
+@query(
+    "op5_repeats",
+    """
+    WITH h AS (
+      SELECT doc_id, hex(encode(coalesce(text, ''))) AS x,
+             CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes
+      FROM documents),
+    strings AS (
+      SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s
+      FROM h, unnest(range(0, greatest(n_bytes - 49, 0))) AS t(i)),
+    hits AS (
+      SELECT doc_id, i FROM strings JOIN (SELECT s, min(doc_id) AS least FROM strings GROUP BY s) USING (s)
+      WHERE least < doc_id),
+    parted AS (
+      SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM (
+        SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS fresh
+        FROM hits)),
+    spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM parted GROUP BY doc_id, part),
+    gaps AS (
+      SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS g, a AS e FROM spans
+      UNION ALL
+      SELECT h.doc_id, coalesce(max(b), 0), n_bytes FROM h LEFT JOIN spans USING (doc_id) GROUP BY h.doc_id, n_bytes),
+    kept AS (
+      SELECT doc_id, string_agg(substr(x, 2 * g + 1, 2 * (e - g)), '' ORDER BY g) AS k FROM gaps JOIN h USING (doc_id)
+      GROUP BY doc_id)
+    SELECT h.doc_id, n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+           CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+    FROM h JOIN kept USING (doc_id)
+    LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS n FROM spans GROUP BY doc_id) USING (doc_id)
+    """,
+)
 def op5_repeats(spark, sf_dir):
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -100,7 +130,32 @@ def op8_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
-@query("op9_jaccard")
+@query(
+    "op9_jaccard",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x20\x09-\x0D]+') AS ws
+      FROM documents),
+    sets AS (
+      SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
+      FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) AS t(i) WHERE len(ws) > 0),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+    pairs AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id
+      GROUP BY ALL),
+    links AS (
+      SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+      WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    reach AS (
+      SELECT doc_id AS a, doc_id AS b FROM documents
+      UNION
+      SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+    SELECT reach.a AS doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(reach.b) AS component_id
+    FROM reach LEFT JOIN sizes ON reach.a = sizes.doc_id GROUP BY reach.a
+    """,
+)
 def op9_jaccard(spark, sf_dir):
     return jaccard.link(table(spark, sf_dir, "documents"))
 
