@@ -112,6 +112,13 @@ register(
     "d16_activity_sessions",
     "series_id:s start:s n:i high:4 low:4",
     lambda s, d: drain(flat(ticks.activity_sessions(tick_stream(s, d)), "s"), "sessions"),
+    sq.query(
+        EV,
+        "gaps AS (SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY series_id ORDER BY ts, event_id) + INTERVAL 10 MINUTE, false) AS fresh FROM ev)",
+        "runs AS (SELECT *, count_if(fresh) OVER (PARTITION BY series_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM gaps)",
+        select="SELECT series_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, max(price) AS high, min(price) AS low "
+        f"FROM runs GROUP BY series_id, run HAVING max(ts) + INTERVAL 10 MINUTE <= {_CLOSED}",
+    ),
 )
 
 
