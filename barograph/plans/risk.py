@@ -151,15 +151,41 @@ register(
     dcc_rows,
     sql_r("SELECT * FROM dc", PN, *DCC),
 )
+# the likelihood of three series with determinant and inverse in closed form
+_CELLS = ", ".join(
+    f"max({c}) FILTER (i = '{i}' AND j = '{j}') AS {n}"
+    for c, n, i, j in (
+        *(("q", f"q{m}{n}", SERIES[m], SERIES[n]) for m in range(3) for n in range(m, 3)),
+        *(("x", f"e{m}", SERIES[m], SERIES[m]) for m in range(3)),
+    )
+)
+_R = ", ".join(f"q{m}{n} / greatest(sqrt(q{m}{m} * q{n}{n}), 1e-12) AS r{m}{n}" for m, n in ((0, 1), (0, 2), (1, 2)))
+DCC_GRID = (
+    *DCC[:8],  # up to the average product of residuals
+    "gr AS (SELECT * FROM (VALUES "
+    + ", ".join(f"(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for a in rk.DCC_A for b in rk.DCC_B if a + b < 0.99)
+    + ") v(a, b))",
+    "gf AS (SELECT a, b, t, ep.i, ep.j, pos, x, CASE WHEN pos = 1 THEN qbar ELSE (1 - a - b) * qbar "
+    "+ a * lag(x * y) OVER (PARTITION BY a, b, ep.i, ep.j ORDER BY t) END AS f FROM ep JOIN qb USING (i, j) CROSS JOIN gr)",
+    "gq AS (SELECT *, pow(b, pos) * sum(f * pow(b, -pos)) OVER (PARTITION BY a, b, i, j ORDER BY t ROWS UNBOUNDED PRECEDING) AS q FROM gf)",
+    f"gw AS (SELECT a, b, t, {_CELLS} FROM gq GROUP BY 1, 2, 3)",
+    f"gc AS (SELECT *, {_R} FROM gw)",
+    "gd AS (SELECT *, 1 + 2 * r01 * r02 * r12 - r01 * r01 - r02 * r02 - r12 * r12 AS det FROM gc)",
+    "gl AS (SELECT a, b, a + b AS persistence, sum(-0.5 * (ln(det) + ((1 - r12 * r12) * e0 * e0 + (1 - r02 * r02) * e1 * e1 "
+    "+ (1 - r01 * r01) * e2 * e2 + 2 * (r02 * r12 - r01) * e0 * e1 + 2 * (r01 * r12 - r02) * e0 * e2 "
+    "+ 2 * (r01 * r02 - r12) * e1 * e2) / det - e0 * e0 - e1 * e1 - e2 * e2)) AS loglik FROM gd GROUP BY 1, 2)",
+)
 register(
     "k7_dcc_grid",
     "a:2 b:2 persistence:2 loglik:3",
     lambda s, d: rk.dcc_grid(resid_pairs(s, d), SERIES),
+    sql_r("SELECT * FROM gl", PN, *DCC_GRID),
 )
 register(
     "k7_dcc_choice",
     "a:2 b:2 persistence:2 loglik:3",
     lambda s, d: rk.dcc_choice(rk.dcc_grid(resid_pairs(s, d), SERIES)),
+    sql_r("SELECT * FROM gl ORDER BY loglik DESC, a DESC, b DESC LIMIT 1", PN, *DCC_GRID),
 )
 register(
     "k8_next_correlation",
