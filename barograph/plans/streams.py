@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barograph.plans import sqltext as sq
 from barograph.plans.drift import MON
 from barograph.plans.forecast import HAR4, har, retrained
-from barograph.plans.market import sql_r
+from barograph.plans.market import HAR_TABLE, sql_r
 from barograph.plans.registry import register_reusing as register
 from barograph.plans.registry import shared
 from barograph.plans.tables import rets, table
@@ -40,15 +40,84 @@ def online_streamed(s, d):
     return drain(online.online_stream(staged(features, "features"), HAR4), "online")
 
 
+_K = range(len(HAR4))
+_LINE = "OVER (PARTITION BY series_id ORDER BY pos ROWS UNBOUNDED PRECEDING)"
+_PREV = "OVER (PARTITION BY series_id ORDER BY pos)"
+
+
+def _each(text: str) -> str:
+    """``text`` for every feature: # is its number, @ its name."""
+    return ", ".join(text.replace("#", str(i)).replace("@", f) for i, f in enumerate(HAR4))
+
+
+def _fade(x: str, d: float) -> str:
+    """Decayed average of ``x`` up to each row, starting from zero."""
+    return f"pow({d}, pos) * sum({1 - d} * ({x}) * pow({d}, -pos)) {_LINE}"
+
+
+def _cholesky() -> list[str]:
+    """Weights w0, w1, ... of (gram + alpha) w = cross, column by column."""
+    out, src = [], "og"
+    for j in _K:
+        d = f"sqrt(g{j}{j} + {online.EWMA['alpha']}" + "".join(f" - l{j}{m} * l{j}{m}" for m in range(j)) + ")"
+        out.append(f"oa{j} AS (SELECT *, {d} AS l{j}{j} FROM {src})")
+        below = [
+            f"(g{j}{i}" + "".join(f" - l{i}{m} * l{j}{m}" for m in range(j)) + f") / l{j}{j} AS l{i}{j}" for i in _K if i > j
+        ]
+        solved = f"(c{j}" + "".join(f" - l{j}{m} * f{m}" for m in range(j)) + f") / l{j}{j} AS f{j}"
+        src = f"ob{j}"
+        out.append(f"{src} AS (SELECT *, {', '.join([*below, solved])} FROM oa{j})")
+    for j in reversed(_K):
+        w = f"(f{j}" + "".join(f" - l{m}{j} * w{m}" for m in _K if m > j) + f") / l{j}{j} AS w{j}"
+        out.append(f"oc{j} AS (SELECT *, {w} FROM {src})")
+        src = f"oc{j}"
+    return out
+
+
+_GRAM = ", ".join(f"{_fade(f'z{i} * z{j}', 0.97)} AS g{i}{j}" for i in _K for j in _K if i <= j)
+ONLINE = (
+    HAR_TABLE,
+    f"o0 AS (SELECT series_id, t, target AS y, {_each('@ AS x#')}, row_number() OVER (PARTITION BY series_id ORDER BY t) AS pos FROM ht)",
+    f"o1 AS (SELECT *, {_each(f'avg(x#) {_LINE} AS m#')} FROM o0)",
+    f"o2 AS (SELECT *, {_each(f'coalesce(lag(m#) {_PREV}, 0) AS p#')} FROM o1)",
+    f"o3 AS (SELECT *, {_each(_fade('(x# - p#) * (x# - m#)', 0.97) + ' AS s#')}, {_each(_fade('(x# - p#) * (x# - m#)', 0.99) + ' AS v#')} FROM o2)",
+    f"o4 AS (SELECT *, {_each('(x# - m#) / sqrt(greatest(s#, 1e-8)) AS z#')}, {_each('(x# - m#) / sqrt(greatest(v#, 1e-8)) AS u#')}, "
+    f"{_each(f'lag(s#) {_PREV} AS sp#')}, {_each(f'lag(v#) {_PREV} AS vp#')} FROM o3)",
+    f"og AS (SELECT *, {_GRAM}, {_each(_fade('z# * y', 0.97) + ' AS c#')} FROM o4)",
+    *_cholesky(),
+    f"ow AS (SELECT *, {_each(f'lag(w#) {_PREV} AS b#')} FROM oc0)",
+)
+_AHEAD = " + ".join(f"b{i} * (x{i} - p{i}) / sqrt(greatest(sp{i}, 1e-8))" for i in _K)
+_EWMA_SQL = sql_r(
+    f"SELECT series_id, t, pos - 1 AS step, y AS actual, CASE WHEN pos > {online.BURN_IN} THEN {_AHEAD} END AS pred_ewma FROM ow",
+    *ONLINE,
+)
+_ERR = "(y - k" + "".join(f" - k{i} * u{i}" for i in _K) + ")"
+_SIZE = f"{2 * online.SGD['rate']} / (1 + {online.SGD['fade']} * o4.pos)"
+_STEP = ", ".join(f"k{i} + {_SIZE} * ({_ERR} * u{i} - {online.SGD['alpha']} * k{i})" for i in _K)
+_SGD_AHEAD = " + ".join(f"k{i} * (x{i} - p{i}) / sqrt(greatest(vp{i}, 1e-8))" for i in _K)
+_SGD_SQL = sql_r(
+    "SELECT * FROM (WITH RECURSIVE sg AS ("
+    f"SELECT DISTINCT series_id, CAST(0 AS BIGINT) AS seen, {_each('CAST(0 AS DOUBLE) AS k#')}, CAST(0 AS DOUBLE) AS k FROM o4 "
+    f"UNION ALL SELECT sg.series_id, seen + 1, {_STEP}, k + {_SIZE} * {_ERR} "
+    "FROM sg JOIN o4 ON o4.series_id = sg.series_id AND o4.pos = seen + 1) "
+    f"SELECT o4.series_id, t, pos - 1 AS step, y AS actual, CASE WHEN pos > {online.BURN_IN} THEN k + {_SGD_AHEAD} END AS pred_sgd "
+    "FROM o4 JOIN sg ON sg.series_id = o4.series_id AND seen = pos - 1)",
+    *ONLINE[:6],
+)
 _ON = "series_id:s t:d step:i actual:4"
-register("d12_online_ewma_ridge", f"{_ON} pred_ewma:4", online_rows)
-register("d12_online_ewma_ridge_stream", f"{_ON} pred_ewma:4", online_streamed)
-register("d13_online_sgd_ridge", f"{_ON} pred_sgd:4", online_rows)
-register("d13_online_sgd_ridge_stream", f"{_ON} pred_sgd:4", online_streamed)
+register("d12_online_ewma_ridge", f"{_ON} pred_ewma:4", online_rows, _EWMA_SQL)
+register("d12_online_ewma_ridge_stream", f"{_ON} pred_ewma:4", online_streamed, _EWMA_SQL)
+register("d13_online_sgd_ridge", f"{_ON} pred_sgd:4", online_rows, _SGD_SQL)
+register("d13_online_sgd_ridge_stream", f"{_ON} pred_sgd:4", online_streamed, _SGD_SQL)
 register(
     "d14_coefficient_trace",
     "series_id:s t:d step:i " + " ".join(f"w_{f}:6" for f in HAR4),
     lambda s, d: online.coefficient_trace(online_rows(s, d), HAR4),
+    sql_r(
+        f"SELECT series_id, t, pos - 1 AS step, {_each('b# AS w_@')} FROM ow WHERE pos > {online.BURN_IN} AND (pos - 1) % 5 = 0",
+        *ONLINE,
+    ),
 )
 register(
     "d15_online_vs_offline",
