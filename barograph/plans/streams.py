@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barograph.plans import sqltext as sq
 from barograph.plans.drift import MON
-from barograph.plans.forecast import HAR4, har, retrained
+from barograph.plans.forecast import HAR4, har, retrained, wf_sql
 from barograph.plans.market import HAR_TABLE, sql_r
 from barograph.plans.registry import register_reusing as register
 from barograph.plans.registry import shared
@@ -88,23 +88,21 @@ ONLINE = (
     f"ow AS (SELECT *, {_each(f'lag(w#) {_PREV} AS b#')} FROM oc0)",
 )
 _AHEAD = " + ".join(f"b{i} * (x{i} - p{i}) / sqrt(greatest(sp{i}, 1e-8))" for i in _K)
-_EWMA_SQL = sql_r(
-    f"SELECT series_id, t, pos - 1 AS step, y AS actual, CASE WHEN pos > {online.BURN_IN} THEN {_AHEAD} END AS pred_ewma FROM ow",
-    *ONLINE,
-)
+_EWMA_ROWS = f"SELECT series_id, t, pos - 1 AS step, y AS actual, CASE WHEN pos > {online.BURN_IN} THEN {_AHEAD} END AS pred_ewma FROM ow"
+_EWMA_SQL = sql_r(_EWMA_ROWS, *ONLINE)
 _ERR = "(y - k" + "".join(f" - k{i} * u{i}" for i in _K) + ")"
 _SIZE = f"{2 * online.SGD['rate']} / (1 + {online.SGD['fade']} * o4.pos)"
 _STEP = ", ".join(f"k{i} + {_SIZE} * ({_ERR} * u{i} - {online.SGD['alpha']} * k{i})" for i in _K)
 _SGD_AHEAD = " + ".join(f"k{i} * (x{i} - p{i}) / sqrt(greatest(vp{i}, 1e-8))" for i in _K)
-_SGD_SQL = sql_r(
+_SGD_ROWS = (
     "SELECT * FROM (WITH RECURSIVE sg AS ("
     f"SELECT DISTINCT series_id, CAST(0 AS BIGINT) AS seen, {_each('CAST(0 AS DOUBLE) AS k#')}, CAST(0 AS DOUBLE) AS k FROM o4 "
     f"UNION ALL SELECT sg.series_id, seen + 1, {_STEP}, k + {_SIZE} * {_ERR} "
     "FROM sg JOIN o4 ON o4.series_id = sg.series_id AND o4.pos = seen + 1) "
     f"SELECT o4.series_id, t, pos - 1 AS step, y AS actual, CASE WHEN pos > {online.BURN_IN} THEN k + {_SGD_AHEAD} END AS pred_sgd "
-    "FROM o4 JOIN sg ON sg.series_id = o4.series_id AND seen = pos - 1)",
-    *ONLINE[:6],
+    "FROM o4 JOIN sg ON sg.series_id = o4.series_id AND seen = pos - 1)"
 )
+_SGD_SQL = sql_r(_SGD_ROWS, *ONLINE[:6])
 _ON = "series_id:s t:d step:i actual:4"
 register("d12_online_ewma_ridge", f"{_ON} pred_ewma:4", online_rows, _EWMA_SQL)
 register("d12_online_ewma_ridge_stream", f"{_ON} pred_ewma:4", online_streamed, _EWMA_SQL)
@@ -123,6 +121,19 @@ register(
     "d15_online_vs_offline",
     "series_id:s model:s rmse:4 n:i",
     lambda s, d: online.online_against_offline(online_rows(s, d), retrained(s, d)),
+    sql_r(
+        "SELECT series_id, model, sqrt(avg((actual - pred) * (actual - pred))) AS rmse, count(*) AS n FROM ("
+        "SELECT series_id, actual, 'EWMA_Online' AS model, pred_ewma AS pred FROM tail UNION ALL "
+        "SELECT series_id, actual, 'SGD_Online', pred_sgd FROM tail UNION ALL "
+        "SELECT tail.series_id, tail.actual, 'Offline_21d', wop.pred FROM tail JOIN wop USING (series_id, t)) "
+        "WHERE pred IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 10",
+        *ONLINE,
+        *wf_sql(10, 252, None, "wo", HAR4),
+        f"oe AS ({_EWMA_ROWS})",
+        f"os AS ({_SGD_ROWS})",
+        "tail AS (SELECT series_id, t, oe.actual, pred_ewma, pred_sgd FROM oe JOIN os USING (series_id, t) "
+        "WHERE pred_ewma IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY t DESC) <= 500)",
+    ),
 )
 
 
