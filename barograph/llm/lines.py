@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barograph.llm.blocks import sliced
 from barograph.sources.checkpoint import stored
 
 DEPTH = 3
@@ -61,7 +62,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """``doc_id, line, leaf`` of every distinct non-blank line of a document; leaf is null for short lines."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             ids, lines, leaves = [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 seen = {}
@@ -85,17 +86,17 @@ def lines_of_leaves(docs: DataFrame, leaves: DataFrame) -> DataFrame:
     """``leaf, line, tokens`` once for every distinct line of the given leaves."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = {}
             for text in b.column(0).to_pylist():
                 for raw in text.split("\n"):
                     if len(tokens := parsed(raw)) >= MIN_TOKENS:
-                        found["\x1f".join(tokens)] = tokens
+                        found[line_hash(tokens)] = (leaf_hash(tokens), "\x1f".join(tokens))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([leaf_hash(t) for t in found.values()], pa.int64()),
-                    pa.array([line_hash(t) for t in found.values()], pa.int64()),
-                    pa.array(list(found), pa.string()),
+                    pa.array([leaf for leaf, _ in found.values()], pa.int64()),
+                    pa.array(list(found), pa.int64()),
+                    pa.array([t for _, t in found.values()], pa.string()),
                 ],
                 ["leaf", "line", "tokens"],
             )
@@ -229,7 +230,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     )
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = [
                 without(t, set(x or ()))
                 for t, x in zip(b.column("text").to_pylist(), b.column("lines").to_pylist())
