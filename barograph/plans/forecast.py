@@ -337,15 +337,53 @@ register(
         *COMBO,
     ),
 )
+_M = range(len(FOUR))
+
+
+def _subset_fit(on: list[int]) -> str:
+    """Least squares on some of the models: weights, 0 for the others, and the loss."""
+    loss = "yy" + "".join(f" - 2 * w{i} * c{i}" for i in on) + "".join(f" + w{i} * w{j} * g{min(i, j)}{max(i, j)}" for i in on for j in on)
+    weights = ", ".join(f"w{i}" if i in on else f"0.0 AS w{i}" for i in _M)
+    return f"SELECT series_id, {weights}, {loss} AS loss FROM {sq.solved('gg', on) if on else 'gg'}"
+
+
+# non-negative least squares as the best of all subsets whose weights are all positive or zero
+WEIGHTS = (
+    *COMBO,
+    "gv AS (SELECT series_id, t, max(actual) AS y, "
+    + ", ".join(f"max(pred) FILTER (model = '{m}') AS p{i}" for i, m in enumerate(FOUR))
+    + " FROM av WHERE is_val GROUP BY 1, 2)",
+    "gg AS (SELECT series_id, sum(y * y) AS yy, "
+    + ", ".join([f"sum(p{i} * p{j}) AS g{i}{j}" for i in _M for j in _M if i <= j] + [f"sum(p{i} * y) AS c{i}" for i in _M])
+    + " FROM gv WHERE " + " AND ".join(f"p{i} IS NOT NULL" for i in _M) + " GROUP BY 1)",
+    "gs AS (" + " UNION ALL ".join(_subset_fit([i for i in _M if mask >> i & 1]) for mask in range(2 ** len(FOUR))) + ")",
+    "gb AS (SELECT *, " + " + ".join(f"w{i}" for i in _M) + " AS total FROM gs WHERE "
+    + " AND ".join(f"w{i} >= 0" for i in _M) + " QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY loss) = 1)",
+    "gw AS (" + " UNION ALL ".join(
+        f"SELECT series_id, '{m}' AS model, CASE WHEN total > 1e-10 THEN w{i} / total ELSE {1 / len(FOUR)} END AS weight FROM gb"
+        for i, m in enumerate(FOUR)
+    ) + ")",
+)
 register(
     "f20_granger_ramanathan",
     "series_id:s model:s weight:6",
     lambda s, d: rr.granger_ramanathan_weights(all_predictions(s, d), FOUR),
+    sql_r("SELECT * FROM gw", *WEIGHTS),
 )
 register(
     "f21_combination_summary",
     "series_id:s model:s rmse:4 n:i is_best:b",
     lambda s, d: rr.combination_summary(all_predictions(s, d), FOUR),
+    sql_r(
+        "SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY rmse, model) = 1 AS is_best FROM ("
+        "SELECT series_id, model, sqrt(avg(pow(actual - pred, 2))) AS rmse, count(*) AS n FROM every GROUP BY 1, 2)",
+        *WEIGHTS,
+        "later AS (SELECT * FROM av WHERE NOT is_val)",
+        "every AS (SELECT series_id, t, model, actual, pred FROM later UNION ALL "
+        "SELECT series_id, t, 'Simple', max(actual), avg(pred) FROM later GROUP BY 1, 2 UNION ALL "
+        "SELECT series_id, t, 'InvRMSE', max(actual), sum(pred * weight) FROM later JOIN iw USING (series_id, model) GROUP BY 1, 2 UNION ALL "
+        "SELECT series_id, t, 'GrangerRam', max(actual), sum(pred * weight) FROM later JOIN gw USING (series_id, model) GROUP BY 1, 2)",
+    ),
 )
 
 BASE = list(rt.BASE_FEATURES)

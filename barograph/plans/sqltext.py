@@ -170,5 +170,22 @@ def norm_tail2(x: str) -> str:
     return f"(1.0 - {erf(f'(abs({x}) / sqrt(2.0))')})"
 
 
+def solved(src: str, on: list[int]) -> str:
+    """``src`` with w<i> for i in ``on``: the solution of the equations g<i><j> w = c<i>, by Cholesky columns."""
+    for n, j in enumerate(on):
+        before = on[:n]
+        d = f"g{j}{j}" + "".join(f" - l{j}{m} * l{j}{m}" for m in before)
+        src = f"(SELECT *, sqrt(greatest({d}, 1e-300)) AS l{j}{j} FROM {src})"
+        cells = [
+            f"(g{j}{i}" + "".join(f" - l{i}{m} * l{j}{m}" for m in before) + f") / l{j}{j} AS l{i}{j}" for i in on[n + 1 :]
+        ]
+        cells.append(f"(c{j}" + "".join(f" - l{j}{m} * f{m}" for m in before) + f") / l{j}{j} AS f{j}")
+        src = f"(SELECT *, {', '.join(cells)} FROM {src})"
+    for n, j in reversed(list(enumerate(on))):
+        w = f"(f{j}" + "".join(f" - l{m}{j} * w{m}" for m in on[n + 1 :]) + f") / l{j}{j} AS w{j}"
+        src = f"(SELECT *, {w} FROM {src})"
+    return src
+
+
 def query(*ctes: str, select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
