@@ -62,10 +62,48 @@ register(
     lambda s, d: sp.var_coefficients(panel(s, d), SERIES, 1).filter(F.col("lag") == 1),
     sql_r("SELECT * FROM vc WHERE lag = 1", *_fit(1)),
 )
+def _responses(p: int, steps: int) -> tuple[str, ...]:
+    """Table th(h, i, j, v, n): answers of i to a one-deviation shock in j, h periods on."""
+    names, k = sp.lag_names(SERIES, p), range(len(SERIES))
+    fitted = {x: f"f{x}.c" + "".join(f" + f{x}.b{i} * {name}" for i, name in enumerate(names)) for x in SERIES}
+    out = [
+        *_fit(p),
+        "ve AS (SELECT " + ", ".join(f"y_{x} - ({fitted[x]}) AS e{i}" for i, x in enumerate(SERIES))
+        + " FROM vb" + "".join(f" CROSS JOIN f{x}" for x in SERIES) + ")",
+        "vs AS (SELECT count(*) AS n, " + ", ".join(f"avg(e{i} * e{j}) AS s{j}{i}" for i in k for j in k if i <= j) + " FROM ve)",
+    ]
+    src = "vs"
+    for j in k:  # Cholesky factor, column by column
+        d = f"sqrt(s{j}{j}" + "".join(f" - l{j}{m} * l{j}{m}" for m in range(j)) + ")"
+        cells = [f"(s{i}{j}" + "".join(f" - l{i}{m} * l{j}{m}" for m in range(j)) + f") / l{j}{j} AS l{i}{j}" for i in k if i > j]
+        src = f"(SELECT *, {d} AS l{j}{j} FROM {src})"
+        src = f"(SELECT *, {', '.join(cells)} FROM {src})" if cells else src
+    out.append(f"vl AS {src}")
+    out.append("vk AS (" + " UNION ALL ".join(
+        f"SELECT '{SERIES[i]}' AS i, '{SERIES[j]}' AS j, {f'l{i}{j}' if j <= i else '0.0::DOUBLE'} AS v, n FROM vl" for i in k for j in k
+    ) + ")")
+    out.append("ph0 AS (" + " UNION ALL ".join(f"SELECT '{x}' AS i, '{x}' AS j, 1.0::DOUBLE AS v" for x in SERIES) + ")")
+    for h in range(1, steps + 1):
+        terms = " UNION ALL ".join(
+            f"SELECT q.i, regressor AS j, q.v * coef AS v FROM ph{h - m} q JOIN vc ON equation = q.j AND lag = {m}"
+            for m in range(1, min(h, p) + 1)
+        )
+        out.append(f"ph{h} AS (SELECT i, j, sum(v) AS v FROM ({terms}) GROUP BY 1, 2)")
+    out.append("th AS (" + " UNION ALL ".join(
+        f"SELECT {h} AS h, q.i, vk.j, sum(q.v * vk.v) AS v, max(n) AS n FROM ph{h} q JOIN vk ON vk.i = q.j GROUP BY 2, 3"
+        for h in range(steps + 1)
+    ) + ")")
+    return tuple(out)
+
+
 register(
     "v4_impulse_responses",
     "response:s shock:s period:i irf:4",
     lambda s, d: sp.irf(panel(s, d), SERIES, LAGS),
+    sql_r(
+        f"SELECT i AS response, j AS shock, h AS period, v * sqrt(n / (n - {len(SERIES) * LAGS + 1.0})) AS irf FROM th",
+        *_responses(LAGS, 20),
+    ),
 )
 
 
@@ -74,7 +112,11 @@ def shares(s, d):
     return sp.fevd(panel(s, d), SERIES, LAGS)
 
 
-register("v5_fevd", "i:s j:s share:6", shares)
+FEVD = (
+    *_responses(LAGS, sp.HORIZON - 1),
+    "fs AS (SELECT i, j, sum(v * v) / sum(sum(v * v)) OVER (PARTITION BY i) AS share FROM th GROUP BY i, j)",
+)
+register("v5_fevd", "i:s j:s share:6", shares, sql_r("SELECT * FROM fs", *FEVD))
 
 
 def corr_shares(s, d):
@@ -110,6 +152,11 @@ register(
     "v6_fevd_connectedness",
     "series:s from_others:6 to_others:6 net:6",
     lambda s, d: sp.connectedness(shares(s, d)),
+    sql_r(
+        "SELECT a.i AS series, from_others, to_others, to_others - from_others AS net FROM (SELECT i, sum(share) FILTER (i <> j) AS from_others FROM fs GROUP BY 1) a "
+        "JOIN (SELECT j, sum(share) FILTER (i <> j) AS to_others FROM fs GROUP BY 1) b ON a.i = b.j",
+        *FEVD,
+    ),
 )
 register(
     "v7_total_connectedness",
