@@ -562,8 +562,40 @@ register(
         *SCAN,
     ),
 )
-register("f31_egarch_scan", _SC, lambda s, d: ga.egarch_scan(rets(s, d)))
-register("f31_best_model", _SC, lambda s, d: ga.best_models(ga.volatility_scan(rets(s, d))))
+# log-variance step by step: each grid point and series is one row of the recursion
+EGARCH_SCAN = (
+    "q0 AS (SELECT series_id, t, 100 * log_return - avg(100 * log_return) OVER (PARTITION BY series_id) AS e FROM r WHERE log_return IS NOT NULL)",
+    "q1 AS (SELECT *, avg(e * e) OVER (PARTITION BY series_id) AS s2, count(*) OVER (PARTITION BY series_id) AS n, "
+    "row_number() OVER (PARTITION BY series_id ORDER BY t) AS pos FROM q0)",
+    "qg AS (SELECT CAST(a AS DOUBLE) AS alpha, CAST(g AS DOUBLE) AS gamma, CAST(b AS DOUBLE) AS beta FROM "
+    + ", ".join(
+        f"(VALUES {', '.join(f'({v})' for v in grid)}) {name}({name[-1]})"
+        for name, grid in (("va", ga.EGARCH_ALPHA), ("vg", ga.EGARCH_GAMMA), ("vb", ga.EGARCH_BETA))
+    )
+    + ")",
+    "qe AS (SELECT * FROM (WITH RECURSIVE fold AS ("
+    "SELECT series_id, s2, n, alpha, gamma, beta, (1 - beta) * ln(s2) AS omega, CAST(0 AS BIGINT) AS seen, ln(s2) AS lh, CAST(0 AS DOUBLE) AS ll "
+    "FROM (SELECT DISTINCT series_id, s2, n FROM q1) CROSS JOIN qg "
+    "UNION ALL SELECT f.series_id, f.s2, f.n, alpha, gamma, beta, omega, seen + 1, "
+    "omega + beta * lh + alpha * (abs(e / exp(lh / 2)) - sqrt(2 / pi())) + gamma * e / exp(lh / 2), "
+    "ll - 0.5 * (ln(2 * pi()) + lh + e / exp(lh / 2) * e / exp(lh / 2)) "
+    "FROM fold f JOIN q1 ON q1.series_id = f.series_id AND q1.pos = seen + 1) "
+    "SELECT series_id, 'EGARCH' AS model, alpha, gamma, beta, n, omega, ll AS loglik, 8 - 2 * ll AS aic, "
+    "4 * ln(n) - 2 * ll AS bic, beta AS persistence FROM fold WHERE seen = n))",
+)
+register("f31_egarch_scan", _SC, lambda s, d: ga.egarch_scan(rets(s, d)), sql_r("SELECT * FROM qe", *EGARCH_SCAN))
+register(
+    "f31_best_model",
+    _SC,
+    lambda s, d: ga.best_models(ga.volatility_scan(rets(s, d))),
+    sql_r(
+        "SELECT * FROM (SELECT series_id, model, alpha, gamma, beta, n, omega, loglik, 2 * k - 2 * loglik AS aic, k * ln(n) - 2 * loglik AS bic, "
+        "alpha + beta + gamma / 2 AS persistence FROM (SELECT *, CASE WHEN model = 'GARCH' THEN 3 ELSE 4 END AS k FROM gs) "
+        "UNION ALL SELECT * FROM qe) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY aic, model, alpha, gamma, beta) = 1",
+        *SCAN,
+        *EGARCH_SCAN,
+    ),
+)
 register(
     "f32_conditional_vs_realised",
     "series_id:s rmse:3 mae:3 corr:6 worst_date:d worst_gap:3",
