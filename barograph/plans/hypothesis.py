@@ -109,10 +109,32 @@ register(
     lambda s, d: hy.acf(stacked(s, d), "value", 40, "series"),
     sql_r("SELECT * FROM ac", *acf_sql(40)),
 )
+def _pacf_sql(lags: int) -> tuple[str, ...]:
+    """Durbin-Levinson level by level: level k has the coefficients a1..ak of its order, the last one is kept."""
+    out = [
+        *acf_sql(lags),
+        f"pc0 AS (SELECT {_P}, any_value(band) AS band, " + ", ".join(f"max(acf) FILTER (lag = {k}) AS r{k}" for k in range(1, lags + 1))
+        + f" FROM ac GROUP BY {_P})",
+    ]
+    fixed = ", ".join([_P, "band", *(f"r{k}" for k in range(1, lags + 1))])
+    for k in range(1, lags + 1):
+        top = f"r{k}" + "".join(f" - a{j} * r{k - j}" for j in range(1, k))
+        bottom = "1.0" + "".join(f" - a{j} * r{j}" for j in range(1, k))
+        kept = "".join(f", p{j}" for j in range(1, k))
+        old = "".join(f", a{j}" for j in range(1, k))
+        new = "".join(f", a{j} - p{k} * a{k - j} AS a{j}" for j in range(1, k))
+        out.append(f"pb{k} AS (SELECT {fixed}{kept}{old}, ({top}) / ({bottom}) AS p{k} FROM pc{k - 1})")
+        out.append(f"pc{k} AS (SELECT {fixed}{kept}, p{k}{new}, p{k} AS a{k} FROM pb{k})")
+    return tuple(out)
+
+
 register(
     "x4_pacf",
     "series_id:s series:s lag:i pacf:6 band:6",
     lambda s, d: hy.pacf(hy.acf(stacked(s, d), "value", 40, "series"), "series"),
+    sql_r(
+        " UNION ALL ".join(f"SELECT {_P}, {k} AS lag, p{k} AS pacf, band FROM pc40" for k in range(1, 41)), *_pacf_sql(40)
+    ),
 )
 
 
