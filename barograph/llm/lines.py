@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barograph.llm.blocks import sliced
 from barograph.sources.checkpoint import stored
@@ -247,5 +248,5 @@ def drop_lines(docs: DataFrame) -> DataFrame:
             )
 
     joined = rows.join(lost, "id", "left").select("row", "text", "lines")
-    kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(run, f"row {kind}, text string, n_lines long, n_dropped long")
+    kind = StructType().add(joined.schema["row"]).add("text", "string").add("n_lines", "long").add("n_dropped", "long")
+    return joined.mapInArrow(run, kind)

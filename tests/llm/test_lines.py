@@ -33,6 +33,14 @@ def test_empty_table(spark):
     assert lines.drop_lines(docs_frame(spark, [])).collect() == []
 
 
+def test_many_and_odd_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = docs_frame(spark, [(1, "a b")]).select("*", *[F.lit(k).alias(f"odd name, {k}") for k in range(40)])
+    row = lines.drop_lines(docs).collect()[0]
+    assert row["text"] == "a b" and row["row"]["odd name, 39"] == 39 and len(row["row"]) == len(docs.columns) - 1
+
+
 def test_tree_by_hand():
     a = "a b c d e f g h i j".split()
     other = a[:9] + ["x"]
