@@ -11,8 +11,8 @@ for words). Special tokens that stand in a text become their ids, as in the publ
 
 Cases: null or empty text gives no tokens (``n_tokens`` 0, digests of nothing); text of white space only
 likewise; texts are never cut; repeated rows give repeated results; an empty table gives an empty table;
-other columns of the input are ignored. Memory: one Arrow batch and a word cache of ``CACHE_WORDS``
-entries, emptied when full.
+other columns of the input are ignored. Memory: one Arrow batch and a word cache of two generations; a new
+one begins beyond ``CACHE_WORDS`` entries, and words in use move on to it.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 150_000
+CHUNK_TEXTS = 1_024
 NEVER = np.iinfo(np.int64).max
 # below this character normalising is the identity and lower case stays below it
 SIMPLE_BELOW = "\u0180"
@@ -89,8 +90,10 @@ class WordBPE:
         self.pair_makes = np.array(makes, dtype=np.int64)[order]
         self.longest = max(len(s) for s in vocab)
         self.to_chars = dict(enumerate(byte_alphabet()))
-        self.cache: dict[str, bytes] = {}
-        self.forget()
+        # no word looks like a special token with its mark: the pattern never joins letters and signs
+        self.marked = {s + "\0": np.array([i], dtype="<u4").tobytes() for s, i in self.special.items()}
+        self.cache: dict[str, bytes] = dict(self.marked)
+        self.older: dict[str, bytes] = {}
         # a token that its own text isn't merged to can't be proposed
         own = self.exact(list(vocab))
         self.unsafe = np.zeros(n, dtype=bool)
@@ -182,8 +185,6 @@ class WordBPE:
 
     def learn(self, words: list[str]) -> None:
         """Encode words that the cache lacks."""
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.forget()
         chars = self.to_chars
         texts = [
             (w if w.isascii() and w.isprintable() else "".join([chars[b] for b in w.encode()])) + self.end
@@ -203,15 +204,6 @@ class WordBPE:
         for k, ids in zip(failing, self.exact([texts[k] for k in failing])):
             self.cache[words[k]] = ids.astype("<u4").tobytes()
 
-    def forget(self) -> None:
-        """Empty the cache but for special tokens, marked with a final zero character.
-
-        No word can look like them: the pattern never joins letters and signs.
-        """
-        self.cache.clear()
-        for s, i in self.special.items():
-            self.cache[s + "\0"] = np.array([i], dtype="<u4").tobytes()
-
     def words(self, text: str) -> list[str]:
         if self.not_simple(text):
             return self.split(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
@@ -231,18 +223,16 @@ class WordBPE:
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out = []
-        for start in range(0, len(texts), 2048):
-            split = [self.parts(t) if t else [] for t in texts[start : start + 2048]]
-            new = list({w for words in split for w in words if w not in self.cache})
-            if new:
-                self.learn(new)
-            get = self.cache.get
-            for words in split:
-                ids = [get(w) for w in words]
-                if None in ids:  # the cache was emptied meanwhile
-                    self.learn([w for w in set(words) if w[:-1] not in self.special])
-                    ids = [get(w) for w in words]
-                out.append(b"".join(ids))
+        for start in range(0, len(texts), CHUNK_TEXTS):
+            split = [self.parts(t) if t else [] for t in texts[start : start + CHUNK_TEXTS]]
+            if len(self.cache) > CACHE_WORDS:
+                self.older, self.cache = self.cache, dict(self.marked)
+            missing = {w for words in split for w in words if w not in self.cache}
+            known = missing & self.older.keys()
+            self.cache.update((w, self.older[w]) for w in known)
+            if len(missing) > len(known):
+                self.learn(list(missing - known))
+            out += [b"".join(map(self.cache.__getitem__, words)) for words in split]
         return out
 
     def decode(self, ids: bytes) -> str:
