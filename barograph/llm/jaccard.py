@@ -213,7 +213,10 @@ def link(docs: DataFrame) -> DataFrame:
         named = named.withColumn("component", F.coalesce("component", "doc"))
         if turn != "first":
             mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-            named = named.join(mixed.filter("lo <> hi").select("token"), "token", "left_semi")
+            mixed = stored(mixed.filter("lo <> hi").select("token"), "mixed")
+            if mixed.isEmpty():
+                break
+            named = named.join(mixed, "token", "left_semi")
         tiles = stored(lay_tiles(named), "tiles")
         pairs = proposals(tiles, tiles.count(), turn == "rest").join(tested, ["a", "b"], "left_anti")
         new = stored(verified(pairs, sets), "tested")
