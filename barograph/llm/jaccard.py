@@ -37,7 +37,7 @@ from barograph.sources.checkpoint import stored
 BITMAP_WORDS = 16
 SMALL_TILE = 4
 TILE = 1_024
-BUCKET_ROWS = 40_000
+BUCKET_ROWS = 8_000
 
 
 def block_sets(table: pa.Table):
