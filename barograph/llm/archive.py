@@ -100,9 +100,7 @@ def write_arc(pages: DataFrame, folder: str, key_col: str = "page_id", url_col:
 
 def write_bytes(rows: DataFrame, folder: str, end: str) -> None:
     """Each value, as it is, and ``end`` after it, into gzip files."""
-    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", end).option(
-        "zlib.compress.level", "BEST_SPEED"
-    ).text(folder, compression="gzip")
+    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", end).text(folder, compression="gzip")
 
 
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
