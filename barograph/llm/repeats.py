@@ -11,9 +11,9 @@ anchors, and neighbouring strings mostly share one, so a text is cut into runs o
    anchor. Where a block holds an equal run with a smaller id, the run is removed there and then.
 3. A range collapses equal runs again. Where an anchor still has several different runs, their bytes are
    concatenated, and intervals of the sorted suffixes are extended backwards through the Burrows-Wheeler
-   transform, breadth first, one byte a level: after level l each interval holds the places of one string of
-   l bytes. Intervals of one place are left, and level ``LENGTH`` gives the groups of equal strings with
-   their smallest id.
+   transform, breadth first, one byte a level from ``START`` on: after level l each interval holds the places
+   of one string of l bytes. Intervals of one place are left, and level ``LENGTH`` gives the groups of equal
+   strings with their smallest id.
 4. Blocks get the spans to remove and apply them to the input texts.
 
 The texts are shuffled once, and read by steps 1, 2 and 4. However often a run occurs, a block sends it once.
@@ -32,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from barograph.llm.blocks import KEY_SHIFT, answered, places, shared_frequencies, with_blocks
-from barograph.llm.hashing import joined, prefix_sums, range_hash, runs
+from barograph.llm.hashing import joined, mix, prefix_sums, range_hash, runs
 
 LENGTH = 50
 GRAM = 24
 CHUNK_BYTES = 1 << 20
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
+START = 32
 
 
 class Runs:
@@ -77,7 +78,8 @@ def anchored(texts: list[bytes], first_text: int) -> Runs:
     last = np.append(edge[1:], len(place)) - 1
     begin = place[edge]
     text = owner[edge]
-    return Runs(text + first_text, begin - start[text], place[last] - begin + LENGTH, gram[anchor[edge]], anchor[edge] - begin)
+    key = mix(gram[anchor[edge]])  # the smallest of many hashes are small, which ranges must not see
+    return Runs(text + first_text, begin - start[text], place[last] - begin + LENGTH, key, anchor[edge] - begin)
 
 
 def chunked(texts: list[bytes]):
@@ -166,59 +168,62 @@ def candidates(blocks: int):
     return send
 
 
-def suffix_order(data: np.ndarray) -> np.ndarray:
-    """Places in the order of the 64 bytes that start there, by doubling from 8."""
-    padded = np.concatenate([data, np.zeros(64, dtype=np.uint8)])
+def suffix_order(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of the 64 bytes that start there, by doubling from 8; and the ranks of START bytes."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
     word = np.zeros(len(data), dtype=np.uint64)
     for k in range(8):
         word = (word << np.uint64(8)) | padded[k : k + len(data)]
-    for reach in (8, 16, 32, 64):
-        order = np.argsort(word, kind="stable")
-        if reach == 64:
-            return order
+    for reach in (8, 16, START):
+        order = np.argsort(word)
         rank = np.empty(len(data), dtype=np.uint64)
         rank[order] = np.cumsum(np.diff(word[order], prepend=word[order[:1]]) != 0) + 1
         later = np.zeros(len(data), dtype=np.uint64)
         later[:-reach] = rank[reach:]
         word = rank << np.uint64(32) | later
+    return np.argsort(word).astype(np.int32), rank.astype(np.int32)
 
 
 def equal_strings(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Places whose ``length`` bytes occur more than once, and the number of each one's string.
 
-    Level by level, an interval of sorted suffixes that start with one string is extended by the byte in
-    front: the transform holds that byte, and stepping to it moves each suffix to its own place in the order.
-    Places of an interval with equal bytes in front form an interval again. Only intervals of two places
-    or more go on, up to ``length``, which the sort order covers.
+    The sort gives the intervals of equal strings of START bytes. Level by level, an interval of sorted
+    suffixes that start with one string is extended by the byte in front: the transform holds that byte, and
+    stepping to it moves each suffix to its own place in the order. Places of an interval with equal bytes
+    in front form an interval again. Only intervals of two places or more go on, up to ``length``, which the
+    sort order covers.
     """
     whole = len(data) - length
     # a byte behind lets strings end with the last byte, a byte in front lets them start with the first
     data = np.concatenate([np.zeros(1, np.uint8), data, np.zeros(1, np.uint8)])
-    order = suffix_order(data)
-    back = np.empty(len(data), dtype=np.int64)
-    back[order] = np.arange(len(data))
+    order, rank = suffix_order(data)
+    back = np.empty(len(data), dtype=np.int32)
+    back[order] = np.arange(len(data), dtype=np.int32)
     step = back[order - 1]  # where the suffix one byte longer stands; the first one wraps around
     head = data[order]
-    live = np.flatnonzero(order != 0)
-    group = np.zeros(len(live), dtype=np.int64)
-    group_at = np.empty(len(data), dtype=np.int64)
+    group = rank[order]
+    live = np.flatnonzero((np.bincount(group)[group] > 1) & (order != 0)).astype(np.int32)
+    group = group[live]
+    group_at = np.empty(len(data), dtype=np.int32)
     marked = np.zeros(len(data), dtype=bool)
-    for level in range(length):
+    for level in range(START, length):
         to = step[live]
         group_at[to], marked[to] = group, True
-        live = np.flatnonzero(marked)
+        live = np.flatnonzero(marked).astype(np.int32)
         marked[live] = False
         own, byte = group_at[live], head[live]
-        new = (np.diff(live, prepend=-2) != 1) | (np.diff(own, prepend=-1) != 0)
-        new[1:] |= byte[1:] != byte[:-1]
-        group = np.cumsum(new) - 1
-        several = np.bincount(group)[group] > 1
+        new = np.ones(len(live), dtype=bool)
+        new[1:] = (live[1:] - live[:-1] != 1) | (own[1:] != own[:-1]) | (byte[1:] != byte[:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(live)))
+        several = np.repeat(size > 1, size)
+        group = np.repeat(np.arange(len(first), dtype=np.int32), size)
         if level < length - 1:
             several &= order[live] != 0  # nothing stands in front of the first byte
         live, group = live[several], group[several]
         if not len(live):
             break
-    place = order[live] - 1
+    place = order[live].astype(np.int64) - 1
     inside = (place >= 0) & (place <= whole)
     return place[inside], group[inside]
 
