@@ -9,8 +9,11 @@ of their own, so short lines are dropped only where they recur as they are (fiel
 
 Work moves as hashes: one row per document and distinct line, without text. Only leaves that hold several
 different lines and enough of them to recur are parsed further, and only for their distinct lines. A leaf
-with very many distinct lines is parsed in parts whose generalised templates are parsed again together, so
-no group grows with the input. Counts of documents are exact and cover every row.
+with very many distinct lines is parsed in parts first. Then all its templates, also those of one line, meet by
+segments of their places: places beyond the leading tokens are cut into one segment more than the number of
+places that may differ, so all lines of one template agree in a segment and are parsed together there. Here a
+line may belong to several templates and goes if one of them recurs. A group then holds the templates of a leaf
+with one segment in common. Counts of documents are exact and cover every row.
 
 Cases: null text stays null with no lines; blank lines are always kept; rows with a null id are neither
 counted nor changed; rows that repeat an id count as one document; ties go to the smaller id; an empty table
@@ -20,6 +23,7 @@ gives an empty table; other columns pass through ``drop_lines`` unchanged, whate
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from barograph.functions.windows import stack
 from barograph.llm.blocks import sliced
 from barograph.sources.checkpoint import stored
 
@@ -140,12 +145,8 @@ def templates(lines: list[tuple[int, list[str]]]) -> list[tuple[int, int, list[s
     return out
 
 
-def generalised(lines: DataFrame) -> DataFrame:
-    """``line, template, tokens`` for ``leaf, line, tokens``: templates of each leaf, large ones in parts."""
-    total = lines.count()
-    sizes = lines.groupBy("leaf").agg(F.count("*").alias("size"))
-    part = F.pmod(F.xxhash64("line"), F.ceil(F.col("size") / LEAF_LINES)).cast("int")
-    placed = lines.join(sizes, "leaf").withColumn("part", part)
+def parsed_groups(placed: DataFrame, total: int) -> DataFrame:
+    """``leaf, line, template, tokens, members`` for ``leaf, part, line, tokens``: templates of each part of a leaf."""
     bucket = F.pmod(F.xxhash64("leaf", "part"), F.lit(1 + total // BUCKET_LINES)).cast("int")
 
     def run(table: pa.Table) -> pa.Table:
@@ -155,21 +156,59 @@ def generalised(lines: DataFrame) -> DataFrame:
         rows = []
         for (leaf, _), own in leaves.items():
             own.sort(key=lambda r: r[1])
-            rows += [(leaf, line, at, "\x1f".join(shown)) for line, at, shown in templates(own)]
+            found = templates(own)
+            size = Counter(at for _, at, _ in found)
+            rows += [(leaf, line, at, "\x1f".join(shown), size[at]) for line, at, shown in found]
         return pa.table(
             [list(c) for c in zip(*rows)],
-            schema=pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("template", pa.int64()), ("tokens", pa.string())]),
+            schema=pa.schema(
+                [("leaf", pa.int64()), ("line", pa.int64()), ("template", pa.int64()), ("tokens", pa.string())]
+                + [("members", pa.int64())]
+            ),
         )
 
     return (
         placed.select("leaf", "part", "line", "tokens", bucket.alias("bucket"))
         .groupBy("bucket")
-        .applyInArrow(run, "leaf long, line long, template long, tokens string")
+        .applyInArrow(run, "leaf long, line long, template long, tokens string, members long")
     )
 
 
+def generalised(lines: DataFrame) -> DataFrame:
+    """Templates of each leaf for ``leaf, line, tokens``, large ones in parts."""
+    sizes = lines.groupBy("leaf").agg(F.count("*").alias("size"))
+    part = F.pmod(F.xxhash64("line"), F.ceil(F.col("size") / LEAF_LINES)).cast("long")
+    return parsed_groups(lines.join(sizes, "leaf").withColumn("part", part), lines.count())
+
+
+def segments(tokens: list[str]) -> list[int]:
+    """Hashes of the segments of a line, of which lines that are similar enough have one in common."""
+    n = len(tokens)
+    differing = sum((n - k) / n >= SIMILARITY for k in range(1, n))
+    edge = [DEPTH + (n - DEPTH) * s // (differing + 1) for s in range(differing + 2)]
+    return [line_hash([str(s), *tokens[a:b]]) for s, (a, b) in enumerate(zip(edge, edge[1:]))]
+
+
+def met(first: DataFrame) -> DataFrame:
+    """Templates of the templates ``leaf, line, tokens`` of large leaves, wherever they have a segment in common."""
+
+    def run(batches):
+        for b in sliced(batches):
+            rows = []
+            for leaf, line, tokens in zip(*(b.column(c).to_pylist() for c in ("leaf", "line", "tokens"))):
+                rows += [(leaf, part, line, tokens) for part in segments(tokens.split("\x1f"))]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            columns = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, kinds)], ["leaf", "part", "line", "tokens"]
+            )
+
+    placed = stored(first.mapInArrow(run, "leaf long, part long, line long, tokens string"), "segments")
+    return parsed_groups(placed, placed.count())
+
+
 def template_of_lines(docs: DataFrame, seen: DataFrame) -> DataFrame:
-    """``line, template`` where the template isn't the line itself."""
+    """``line, template`` of the lines of templates of several lines."""
     crowded = (
         seen.filter("leaf IS NOT NULL")
         .groupBy("leaf")
@@ -179,27 +218,28 @@ def template_of_lines(docs: DataFrame, seen: DataFrame) -> DataFrame:
     )
     lines = stored(lines_of_leaves(docs, crowded), "lines")
     first = stored(generalised(lines), "templates")
-    # large leaves were parsed in parts: their generalised templates are parsed once more, together
-    large = lines.groupBy("leaf").agg(F.count("*").alias("size")).filter(F.col("size") > LEAF_LINES)
-    general = first.filter(F.col("line") != F.col("template")).join(large, "leaf", "left_semi")
-    again = generalised(
-        general.groupBy("leaf", F.col("template").alias("line")).agg(F.min("tokens").alias("tokens"))
-    ).select(F.col("line").alias("template"), F.col("template").alias("final"))
-    return (
-        first.select("line", "template")
-        .join(again, "template", "left")
-        .select("line", F.coalesce("final", "template").alias("template"))
-        .filter("line <> template")
-    )
+    named = first.filter("members > 1").select("line", "template")
+    large = lines.groupBy("leaf").agg(F.count("*").alias("size")).filter(F.col("size") > LEAF_LINES).select("leaf")
+    if large.isEmpty():
+        return named
+    own = first.join(large, "leaf", "left_semi")
+    again = met(own.groupBy("leaf", F.col("template").alias("line")).agg(F.min("tokens").alias("tokens")))
+    again = again.filter("members > 1").select(F.col("line").alias("template"), F.col("template").alias("final"))
+    later = own.select("line", "template").join(again, "template").select("line", F.col("final").alias("template"))
+    return stored(stack(named, later).distinct(), "named")
 
 
 def recurring(docs: DataFrame) -> DataFrame:
     """``doc_id, lines``: for every document the hashes of the lines that it loses."""
     seen = stored(occurrences(docs), "seen")
-    named = (
-        seen.select("doc_id", "line")
-        .join(template_of_lines(docs, seen), "line", "left")
-        .select("doc_id", "line", F.coalesce("template", "line").alias("template"))
+    # a line counts as itself and for each template that it belongs to
+    template = F.xxhash64("template", F.lit("template"))
+    named = stack(
+        seen.select("doc_id", "line", F.col("line").alias("template")),
+        seen.filter("leaf IS NOT NULL")
+        .select("doc_id", "line")
+        .join(template_of_lines(docs, seen), "line")
+        .select("doc_id", "line", template.alias("template")),
     )
     often = (
         named.groupBy("template", "doc_id")

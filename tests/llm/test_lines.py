@@ -71,3 +71,33 @@ def test_dropped_lines_match_brute_force(spark):
         if len(ids) >= lines.MIN_DOCS:
             assert all(line in lost[d] for d in ids if d != min(ids))
     assert collected(lines.drop_lines(docs).select("row.doc_id"), "doc_id") == sorted(((i,) for i in range(200)), key=repr)
+
+
+def test_rare_templates_of_large_leaves(spark, monkeypatch):
+    """Three lines of one template are found however many parts their leaf is parsed in."""
+    monkeypatch.setattr(lines, "LEAF_LINES", 10)
+    letters = "abcdefghijklmnopqrst"
+
+    def word(*number):
+        return "".join(letters[k] for k in number)
+
+    rows = [
+        (3 * i + j, f"the big red {word(j, i)} " + " ".join(word(i, k, k) for k in range(7)))
+        for i in range(20)
+        for j in range(3)
+    ]
+    got = {r["row"]["doc_id"]: r["n_dropped"] for r in lines.drop_lines(docs_frame(spark, rows)).collect()}
+    assert got == {d: int(d % 3 > 0) for d, _ in rows}
+
+
+def test_similar_lines_share_a_segment():
+    import random
+
+    rnd = random.Random(4)
+    for n in range(lines.MIN_TOKENS, 40):
+        a = [str(k) for k in range(n)]
+        b = a.copy()
+        for k in rnd.sample(range(lines.DEPTH, n), min(n - lines.DEPTH, int(n * (1 - lines.SIMILARITY) + 1e-9))):
+            b[k] = "x"
+        assert len({at for _, at, _ in lines.templates([(1, a), (2, b)])}) == 1
+        assert set(lines.segments(a)) & set(lines.segments(b))
