@@ -3,8 +3,9 @@
 A line is parsed as in a tree of fixed depth: first its number of tokens, then its ``DEPTH`` leading tokens.
 Tokens with a digit count as variable fields. In a leaf, lines join the template with which they agree in
 the largest share of places, if that is at least ``SIMILARITY``; places in which they differ become
-variable. A template that occurs in ``MIN_DOCS`` documents or more is boilerplate: it stays in the document
-with the smallest id and is dropped from all others. Lines of fewer than ``MIN_TOKENS`` tokens are templates
+variable. A template that occurs in ``MIN_DOCS`` documents or more, or in ``LONG_DOCS`` if ``LONG_TOKENS`` of its
+tokens or more aren't variable, is boilerplate: it stays in the document with the smallest id and is dropped
+from all others. Lines of fewer than ``MIN_TOKENS`` tokens are templates
 of their own, so short lines are dropped only where they recur as they are (fields apart).
 
 Work moves as hashes: one row per document and distinct line, without text. Only leaves that hold several
@@ -28,7 +29,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -40,6 +41,7 @@ DEPTH = 3
 SIMILARITY = 0.8
 MIN_TOKENS = 5
 MIN_DOCS = 3
+LONG_TOKENS, LONG_DOCS = 12, 2
 LEAF_LINES = 4_000
 BUCKET_LINES = 20_000
 FIELD = "<*>"
@@ -60,32 +62,43 @@ def line_hash(tokens: list[str]) -> int:
     return signed(xxhash.xxh3_64_intdigest("\x1f".join(tokens).encode("utf-8", "surrogatepass")))
 
 
+def is_long(tokens: list[str]) -> bool:
+    return len(tokens) - tokens.count(FIELD) >= LONG_TOKENS
+
+
+def enough(count: str, long: Column) -> Column:
+    return F.col(count) >= F.when(long, LONG_DOCS).otherwise(MIN_DOCS)
+
+
 def leaf_hash(tokens: list[str]) -> int:
     return line_hash([str(len(tokens)), *tokens[:DEPTH]])
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``doc_id, line, leaf`` of every distinct non-blank line of a document; leaf is null for short lines."""
+    """``doc_id, line, leaf, long`` of every distinct non-blank line of a document; leaf is null for short lines."""
 
     def run(batches):
         for b in sliced(batches):
-            ids, lines, leaves = [], [], []
+            ids, lines, leaves, long = [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 seen = {}
                 for raw in text.split("\n"):
                     if tokens := parsed(raw):
-                        seen[line_hash(tokens)] = leaf_hash(tokens) if len(tokens) >= MIN_TOKENS else None
+                        leaf = leaf_hash(tokens) if len(tokens) >= MIN_TOKENS else None
+                        seen[line_hash(tokens)] = leaf, is_long(tokens)
                 ids += [doc] * len(seen)
                 lines += seen.keys()
-                leaves += seen.values()
+                leaves += [leaf for leaf, _ in seen.values()]
+                long += [x for _, x in seen.values()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in (ids, lines, leaves)], ["doc_id", "line", "leaf"]
+                [*(pa.array(c, pa.int64()) for c in (ids, lines, leaves)), pa.array(long, pa.bool_())],
+                ["doc_id", "line", "leaf", "long"],
             )
 
     rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    return rows.mapInArrow(run, "doc_id long, line long, leaf long")
+    return rows.mapInArrow(run, "doc_id long, line long, leaf long, long boolean")
 
 
 def lines_of_leaves(docs: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -146,7 +159,7 @@ def templates(lines: list[tuple[int, list[str]]]) -> list[tuple[int, int, list[s
 
 
 def parsed_groups(placed: DataFrame, total: int) -> DataFrame:
-    """``leaf, line, template, tokens, members`` for ``leaf, part, line, tokens``: templates of each part of a leaf."""
+    """``leaf, line, template, tokens, members, long`` for ``leaf, part, line, tokens``: templates of each part."""
     bucket = F.pmod(F.xxhash64("leaf", "part"), F.lit(1 + total // BUCKET_LINES)).cast("int")
 
     def run(table: pa.Table) -> pa.Table:
@@ -158,19 +171,19 @@ def parsed_groups(placed: DataFrame, total: int) -> DataFrame:
             own.sort(key=lambda r: r[1])
             found = templates(own)
             size = Counter(at for _, at, _ in found)
-            rows += [(leaf, line, at, "\x1f".join(shown), size[at]) for line, at, shown in found]
+            rows += [(leaf, line, at, "\x1f".join(shown), size[at], is_long(shown)) for line, at, shown in found]
         return pa.table(
             [list(c) for c in zip(*rows)],
             schema=pa.schema(
                 [("leaf", pa.int64()), ("line", pa.int64()), ("template", pa.int64()), ("tokens", pa.string())]
-                + [("members", pa.int64())]
+                + [("members", pa.int64()), ("long", pa.bool_())]
             ),
         )
 
     return (
         placed.select("leaf", "part", "line", "tokens", bucket.alias("bucket"))
         .groupBy("bucket")
-        .applyInArrow(run, "leaf long, line long, template long, tokens string, members long")
+        .applyInArrow(run, "leaf long, line long, template long, tokens string, members long, long boolean")
     )
 
 
@@ -208,24 +221,24 @@ def met(first: DataFrame) -> DataFrame:
 
 
 def template_of_lines(docs: DataFrame, seen: DataFrame) -> DataFrame:
-    """``line, template`` of the lines of templates of several lines."""
+    """``line, template, long`` of the lines of templates of several lines."""
     crowded = (
         seen.filter("leaf IS NOT NULL")
         .groupBy("leaf")
-        .agg(F.count("*").alias("rows"), F.min("line").alias("lo"), F.max("line").alias("hi"))
-        .filter((F.col("rows") >= MIN_DOCS) & (F.col("lo") != F.col("hi")))
+        .agg(F.count("*").alias("rows"), F.min("line").alias("lo"), F.max("line").alias("hi"), F.max("long").alias("long"))
+        .filter(enough("rows", F.col("long")) & (F.col("lo") != F.col("hi")))
         .select("leaf")
     )
     lines = stored(lines_of_leaves(docs, crowded), "lines")
     first = stored(generalised(lines), "templates")
-    named = first.filter("members > 1").select("line", "template")
+    named = first.filter("members > 1").select("line", "template", "long")
     large = lines.groupBy("leaf").agg(F.count("*").alias("size")).filter(F.col("size") > LEAF_LINES).select("leaf")
     if large.isEmpty():
         return named
     own = first.join(large, "leaf", "left_semi")
     again = met(own.groupBy("leaf", F.col("template").alias("line")).agg(F.min("tokens").alias("tokens")))
-    again = again.filter("members > 1").select(F.col("line").alias("template"), F.col("template").alias("final"))
-    later = own.select("line", "template").join(again, "template").select("line", F.col("final").alias("template"))
+    again = again.filter("members > 1").select(F.col("line").alias("template"), F.col("template").alias("final"), "long")
+    later = own.select("line", "template").join(again, "template").select("line", F.col("final").alias("template"), "long")
     return stored(stack(named, later).distinct(), "named")
 
 
@@ -235,20 +248,20 @@ def recurring(docs: DataFrame) -> DataFrame:
     # a line counts as itself and for each template that it belongs to
     template = F.xxhash64("template", F.lit("template"))
     named = stack(
-        seen.select("doc_id", "line", F.col("line").alias("template")),
+        seen.select("doc_id", "line", F.col("line").alias("template"), "long"),
         seen.filter("leaf IS NOT NULL")
         .select("doc_id", "line")
         .join(template_of_lines(docs, seen), "line")
-        .select("doc_id", "line", template.alias("template")),
+        .select("doc_id", "line", template.alias("template"), "long"),
     )
     often = (
         named.groupBy("template", "doc_id")
-        .agg(F.lit(1).alias("one"))
+        .agg(F.min("long").alias("long"))
         .groupBy("template")
-        .agg(F.count("*").alias("docs"), F.min("doc_id").alias("keeper"))
-        .filter(F.col("docs") >= MIN_DOCS)
+        .agg(F.count("*").alias("docs"), F.min("doc_id").alias("keeper"), F.min("long").alias("long"))
+        .filter(enough("docs", F.col("long")))
     )
-    lost = named.join(often, "template").filter("doc_id <> keeper")
+    lost = named.join(often.select("template", "keeper"), "template").filter("doc_id <> keeper")
     return lost.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
 

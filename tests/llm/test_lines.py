@@ -101,3 +101,15 @@ def test_similar_lines_share_a_segment():
             b[k] = "x"
         assert len({at for _, at, _ in lines.templates([(1, a), (2, b)])}) == 1
         assert set(lines.segments(a)) & set(lines.segments(b))
+
+
+def test_long_lines_recur_from_two_documents(spark):
+    long = "a passage of many words that was copied into another document as a whole line"
+    near = long.replace("another", "some")
+    fields = " ".join(f"n{k}" for k in range(20))
+    rows = [(1, f"first\n{long}"), (2, f"second\n{long}"), (3, f"third\n{fields} end"), (4, f"fourth\n{fields} end")]
+    got = {r["row"]["doc_id"]: r["n_dropped"] for r in lines.drop_lines(docs_frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 0}
+    rows = [(1, f"first\n{near}"), (2, f"second\n{long}")]
+    got = {r["row"]["doc_id"]: r["n_dropped"] for r in lines.drop_lines(docs_frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 1}
