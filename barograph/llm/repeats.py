@@ -8,7 +8,9 @@ anchors, and neighbouring strings mostly share one, so a text is cut into runs o
 1. Texts are dealt to blocks of bounded bytes. A block sends each of its anchors once; those that stand in
    two documents or more come back. Other runs can't repeat and drop out.
 2. A block sends the bytes of the remaining runs, equal runs once with their smallest id, by range of the
-   anchor. Where a block holds an equal run with a smaller id, the run is removed there and then.
+   anchor. Where a block holds an equal run with a smaller id, the run is removed there and then. Runs of an
+   anchor in more than ``HOT_DOCS`` documents are sent as single strings by range of the string's hash, so the
+   many different runs at the edge of a common passage don't meet in one task.
 3. A range collapses equal runs again. Where an anchor still has several different runs, their bytes are
    concatenated, and intervals of the sorted suffixes are extended backwards through the Burrows-Wheeler
    transform, breadth first, one byte a level from ``START`` on: after level l each interval holds the places
@@ -16,7 +18,8 @@ anchors, and neighbouring strings mostly share one, so a text is cut into runs o
    strings with their smallest id.
 4. Blocks get the spans to remove and apply them to the input texts.
 
-The texts are shuffled once, and read by steps 1, 2 and 4. However often a run occurs, a block sends it once.
+The texts are shuffled once, and read by steps 1, 2 and 4. However often a run or a string occurs, a block sends
+it once.
 
 Cases: null texts count as empty; texts shorter than ``LENGTH`` stay whole; a string that repeats only within
 a document, or in rows with the same id, stays; rows with a null id neither lose nor cause anything; an
@@ -30,6 +33,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from barograph.llm.blocks import KEY_SHIFT, answered, places, shared_frequencies, with_blocks
@@ -40,6 +44,7 @@ GRAM = 24
 CHUNK_BYTES = 1 << 20
 SORT_BYTES = 1 << 19
 START = 32
+HOT_DOCS = 1 << 14
 
 
 class Runs:
@@ -133,30 +138,44 @@ def unpacked(table: pa.Table):
         yield block, zlib.decompress(text) if text else b"", *numbers
 
 
-def candidates(blocks: int):
+def candidates(blocks: int, hot_docs: int):
     """Step 2: runs with shared anchors, and spans that the block can settle alone."""
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return SPAN_SCHEMA.empty_table()
-        keys, _ = answered(right)
+        keys, df = answered(right)
         ids, texts = block_texts(left)
         block = left.column("block")[0].as_py()
         first: dict[tuple[bytes, int], int] = {}
+        strings: dict[bytes, int] = {}
         settled, parts = [], {}
         for r in chunked(texts):
-            shared, _ = places(keys, r.key >> KEY_SHIFT)
+            shared, at = places(keys, r.key >> KEY_SHIFT)
+            hot = np.zeros(len(shared), dtype=bool)
+            hot[shared] = df[at[shared]] > hot_docs
             part = ((r.key >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-            columns = (r.text, r.start, r.size, r.anchor, part)
-            for text, start, size, anchor, p in zip(*(c[shared].tolist() for c in columns)):
+            columns = (r.text, r.start, r.size, r.anchor, part, hot)
+            for text, start, size, anchor, p, single in zip(*(c[shared].tolist() for c in columns)):
                 doc = ids[text]
                 if doc is None:
                     continue
                 own = texts[text][start : start + size]
                 if first.setdefault((own, anchor), doc) < doc:
                     settled.append((b"", size, 0, doc, text, start))
-                else:
+                elif not single:
                     parts.setdefault(p, []).append((own, size, anchor, doc, text, start))
+                else:
+                    known = []
+                    for k in range(size - LENGTH + 1):
+                        string = own[k : k + LENGTH]
+                        if strings.setdefault(string, doc) < doc:
+                            known.append(k)
+                        else:
+                            p = (xxhash.xxh3_64_intdigest(string) >> 32) * blocks >> 32
+                            parts.setdefault(p, []).append((string, LENGTH, anchor - k, doc, text, start + k))
+                    if known:  # strings of a run overlap
+                        settled.append((b"", known[-1] - known[0] + LENGTH, 0, doc, text, start + known[0]))
         out = [span_row(p, block, found) for p, found in sorted(parts.items())]
         if settled:  # they only pass through a part
             out.append(span_row(block % blocks, block, settled))
@@ -269,7 +288,8 @@ def settle(table: pa.Table) -> pa.Table:
             entries.append((block, k, doc, row, start))
     low = np.array(least, dtype=np.int64)
     several: dict[int, np.ndarray] = {}
-    many = [ks for ks in by_anchor.values() if len(ks) > 1]
+    # different runs of one string each have nothing in common
+    many = [ks for ks in by_anchor.values() if len(ks) > 1 and any(len(texts[k]) > LENGTH for k in ks)]
     for a, b in runs([sum(len(texts[k]) for k in ks) for ks in many], SORT_BYTES):
         ks = [k for own in many[a:b] for k in own]
         several.update(zip(ks, smallest_ids([texts[k] for k in ks], low[ks])))
@@ -324,7 +344,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     base, blocks = with_blocks(docs)
     shared = shared_frequencies(base, blocks, anchor_sets)
     by_block = base.groupBy("block")
-    sent = by_block.cogroup(shared.groupBy("block")).applyInArrow(candidates(blocks), SPANS)
+    sent = by_block.cogroup(shared.groupBy("block")).applyInArrow(candidates(blocks, HOT_DOCS), SPANS)
     spans = sent.groupBy("part").applyInArrow(settle, SPANS)
     result = by_block.cogroup(spans.groupBy("block")).applyInArrow(applied(with_text), RESULT)
     return result if with_text else result.drop("kept")

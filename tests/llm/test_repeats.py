@@ -52,3 +52,36 @@ def test_equal_strings():
         want.setdefault(data[i : i + 50], set()).add(i)
     many = sorted(sorted(s) for s in want.values() if len(s) > 1)
     assert sorted(map(sorted, found.values())) == many
+
+
+def test_edges_of_a_common_passage_spread_over_parts(spark, monkeypatch):
+    """Every document has its own runs at the edges of a passage; no part gets all runs of an anchor."""
+    monkeypatch.setattr("barograph.llm.blocks.BLOCK_BYTES", 3000)
+    monkeypatch.setattr(repeats, "HOT_DOCS", 20, raising=False)
+
+    def text():
+        return "".join(rnd.choice("abcdefgh ") for _ in range(80))
+
+    rnd = random.Random(6)
+    passage = text()
+    rows = [(i, text() + passage + text()) for i in range(150)]
+    rows += [(200 + i, rows[0][1][i : 150 + i]) for i in range(20)]
+    docs = docs_frame(spark, rows)
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert collected(repeats.remove_repeats(docs), *names) == brute(rows)
+
+    def counted(table):
+        runs = sum(len(sizes) for _, text, sizes, *_ in repeats.unpacked(table) if text)
+        return repeats.pa.table({"runs": [runs]})
+
+    found, frame = [], type(docs)
+    grouped = frame.groupBy
+
+    def group(self, *columns):
+        if columns == ("part",) and "anchors" in self.columns:
+            found.extend(r["runs"] for r in grouped(self, "part").applyInArrow(counted, "runs long").collect())
+        return grouped(self, *columns)
+
+    monkeypatch.setattr(frame, "groupBy", group)
+    repeats.remove_repeats(docs)
+    assert sum(found) > 100 and max(found) < 0.2 * sum(found)
