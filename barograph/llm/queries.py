@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barograph.llm import archive, bpe, decontaminate, html, jaccard, langid, lines, repeats, topk, toxicity
+from barograph.llm import archive, bpe, decontaminate, html, jaccard, langid, lines, repeats, topk, toxicity, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -165,6 +165,57 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query(
+    "op11_variants",
+    r"""
+    WITH RECURSIVE steps AS (
+      SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+               lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+    runs AS (
+      SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+      FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id,
+                   unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+            FROM documents)
+      WHERE length(run) >= 7 GROUP BY ALL),
+    bytes AS (
+      SELECT run, k, list_transform(range(0, CAST(length(x) / 2 AS BIGINT)),
+               lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS b
+      FROM (SELECT run, k, hex(encode(doc_id || ':' || run)) AS x FROM runs)),
+    hashed AS (
+      SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295, b),
+               lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]))) AS h
+      FROM bytes, steps),
+    made AS (
+      SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, (h % length(run)) + 2)
+                  ELSE run END AS word, k FROM hashed),
+    words AS (
+      SELECT word, CAST(sum(k) AS BIGINT) AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+    cuts AS (
+      SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+      FROM words, unnest(range(0, length(word))) AS t(i)),
+    near AS (
+      SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b USING (i, rest) WHERE a.word <> b.word
+      UNION SELECT w.word, w.n, c.word, c.n FROM words w JOIN cuts c ON w.word = c.rest
+      UNION SELECT c.word, c.n, w.word, w.n FROM words w JOIN cuts c ON w.word = c.rest),
+    ranked AS (
+      SELECT *, count(*) OVER (PARTITION BY word) AS n_near,
+             row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place
+      FROM near),
+    forms AS (
+      SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+             CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+      FROM words w LEFT JOIN ranked r ON w.word = r.word AND place = 1),
+    walk AS (
+      SELECT word, word AS at FROM words
+      UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON walk.at = f.word WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n
+    FROM forms f JOIN walk USING (word) JOIN forms e ON walk.at = e.word AND e.form IS NULL
+    """,
+)
+def op11_variants(spark, sf_dir):
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
