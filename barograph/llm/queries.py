@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barograph.llm import archive, bpe, decontaminate, html, jaccard, langid, lines, repeats, topk, toxicity, variants
+from barograph.llm import alignment, archive, bpe, decontaminate, html, jaccard, langid, lines, repeats, topk, toxicity, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -216,6 +216,12 @@ def op11_variants(spark, sf_dir):
     return variants.variants(table(spark, sf_dir, "documents"))
 
 
+@query("op13_alignment")
+def op13_alignment(spark, sf_dir):
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), *files)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
