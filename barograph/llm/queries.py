@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barograph.llm import alignment, archive, bpe, decontaminate, html, jaccard, langid, lines, repeats, topk, toxicity, variants
+from barograph.llm import alignment, archive, bpe, decontaminate, html, jaccard, langid, lines, passages, repeats, topk, toxicity, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -216,6 +216,31 @@ def op11_variants(spark, sf_dir):
     return variants.variants(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op12_passages",
+    r"""
+    WITH w AS (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    windows AS (
+      SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s
+      FROM w, unnest(range(1, greatest(len(ws) - 11, 1))) AS t(i)),
+    hits AS (
+      SELECT doc_id, i FROM windows JOIN (SELECT s, min(doc_id) AS least FROM windows GROUP BY s) USING (s)
+      WHERE least < doc_id),
+    gone AS (SELECT DISTINCT doc_id, i + k AS p FROM hits, range(13) AS r(k)),
+    placed AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w),
+    kept AS (
+      SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS k FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+    removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+    SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+           sha256(coalesce(k, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
+    """,
+)
+def op12_passages(spark, sf_dir):
+    return passages.remove_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op13_alignment")
 def op13_alignment(spark, sf_dir):
     files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
