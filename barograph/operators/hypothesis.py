@@ -633,9 +633,13 @@ def ks_two_sample(rows: DataFrame, keys: Sequence[str], value: str, is_reference
 
 
 def rank_stability(history: DataFrame, window: str, item: str, score: str) -> DataFrame:
-    """Spearman correlation of the scores of adjacent windows, ties at their mean rank."""
+    """Spearman correlation of the scores of adjacent windows, ties at their mean rank.
+
+    The p-value is that of Student t with two degrees of freedom less than items; windows count
+    the items scored in both.
+    """
     w = Window.partitionBy(KEY, window)
-    ranks = history.withColumn(
+    ranks = history.filter(F.col(score).isNotNull()).withColumn(
         "_rank",
         F.rank().over(w.orderBy(score))
         + (F.count(F.lit(1)).over(Window.partitionBy(KEY, window, score)) - 1) / 2,
@@ -644,6 +648,10 @@ def rank_stability(history: DataFrame, window: str, item: str, score: str) -> Da
     pairs = ranks.withColumns(
         {"_prev": F.lag("_rank").over(before), "_pw": F.lag(window).over(before)}
     ).filter(F.col("_pw") == F.col(window) - 1)
-    return pairs.groupBy(KEY, window).agg(
+    rho = pairs.groupBy(KEY, window).agg(
         F.corr("_prev", "_rank").alias("spearman_rho"), F.count(F.lit(1)).alias("n")
     )
+    stat = F.col("spearman_rho") * F.sqrt(
+        F.try_divide(F.col("n") - 2, F.greatest(1 - F.col("spearman_rho") * F.col("spearman_rho"), F.lit(1e-300)))
+    )
+    return rho.withColumn("p_value", F.when(F.col("n") > 2, t_tail2(stat, F.col("n") - 2)))

@@ -1,4 +1,4 @@
-"""Feature ranking, elimination and tree models."""
+"""Feature ranking and elimination, histories of importances."""
 
 from __future__ import annotations
 
@@ -6,17 +6,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barograph.functions import linalg
-from barograph.functions.windows import KEY, TIME, stack
+from barograph.functions.windows import KEY, TIME
+from barograph.operators.boosting import RANKING, Boosting, tree_gains
 from barograph.operators.cross import target_correlations
 from barograph.operators.evaluate import qlike, rmse
-from barograph.operators.regression import ALPHA, fold_ids, train_test
-from barograph.sources.checkpoint import cut
+from barograph.operators.regression import ALPHA, fold_ids
 
 
 def _place(df: DataFrame, score: str, out: str, top_k: int | None) -> DataFrame:
@@ -58,28 +56,11 @@ def mutual_information_ranking(
     return _place(mi, "mutual_info", "rank_mi", top_k)
 
 
-def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
-
-
-def _importances(df: DataFrame, model, features: Sequence[str], *keep) -> DataFrame:
-    cells = [
-        F.struct(F.lit(f).alias("feature"), F.lit(float(v)).alias("importance"))
-        for f, v in zip(features, model.featureImportances.toArray())
-    ]
-    return df.select(*keep, F.inline(F.array(*cells)))
-
-
 def tree_gain_ranking(
-    train: DataFrame, features: Sequence[str], trees: int = 20, depth: int = 3, seed: int = 42,
-    top_k: int | None = 20,
+    train: DataFrame, features: Sequence[str], options: Boosting = RANKING, top_k: int | None = 20
 ) -> DataFrame:
-    """Gain importance of a forest over the pooled panel, ranked for every series."""
-    data = _assembled(train.select(KEY, TIME, *features, "target"), features)
-    model = RandomForestRegressor(
-        labelCol="target", numTrees=trees, maxDepth=depth, subsamplingRate=0.8, seed=seed
-    ).fit(data)
-    gains = _importances(train.select(KEY).distinct(), model, features, KEY)
+    """Gain importance of boosted trees fitted on each series."""
+    gains = tree_gains(train, features, options)
     return _place(gains.withColumnRenamed("importance", "tree_gain"), "tree_gain", "rank_tree", top_k)
 
 
@@ -170,71 +151,25 @@ def selection_summary(merged: DataFrame) -> DataFrame:
     )
 
 
-# --- boosted trees -------------------------------------------------------------------
-
-
-def boosted_tail(
-    table: DataFrame, features: Sequence[str], name: str, iterations: int = 20, depth: int = 3,
-    test_rows: int = 500, seed: int = 42, keep: Sequence[str] = (),
-) -> DataFrame:
-    """Boosted trees fitted on the pooled training rows, forecasts of every test tail."""
-    data = cut(_assembled(train_test(table, test_rows), features))
-    gbt = GBTRegressor(
-        labelCol="target", maxIter=iterations, maxDepth=depth, stepSize=0.05,
-        subsamplingRate=0.8, seed=seed,
-    )
-    model = gbt.fit(data.filter(~F.col("is_test")))
-    scored = model.transform(data.filter("is_test"))
-    return scored.select(
-        KEY, TIME, *keep, F.lit(name).alias("model"), F.col("target").alias("actual"),
-        F.col("prediction").alias("pred"),
-    )
-
-
-def boosted_walk_forward(
-    table: DataFrame, features: Sequence[str], windows: int, start: int = 756, step: int = 21,
-    iterations: int = 20, depth: int = 3, seed: int = 42,
-) -> tuple[DataFrame, DataFrame]:
-    """Boosted trees refitted before each of ``windows`` test windows on the pooled panel.
-
-    Every fit is one distributed job over the rows of all series up to the window; the loop
-    runs over windows only. Returns forecasts and the importance of every feature per window.
-    """
-    data = cut(_assembled(table, features))
-    one = data.select(F.lit(1).alias("_one")).limit(1)
-    preds = history = None
-    for i in range(windows):
-        first = start + i * step
-        model = GBTRegressor(
-            labelCol="target", maxIter=iterations, maxDepth=depth, stepSize=0.05,
-            subsamplingRate=0.8, seed=seed,
-        ).fit(data.filter(F.col("pos") <= first))
-        p = model.transform(data.filter((F.col("pos") > first) & (F.col("pos") <= first + step))).select(
-            KEY, TIME, F.lit(i).alias("window"), F.col("target").alias("actual"),
-            F.col("prediction").alias("pred"),
-        )
-        h = _importances(one, model, features, F.lit("all").alias(KEY), F.lit(i).alias("window"))
-        preds = p if preds is None else stack(preds, p)
-        history = h if history is None else stack(history, h)
-    return preds, history
-
-
 def window_metrics(preds: DataFrame) -> DataFrame:
+    """Metrics of each window of the forecasts of a walk-forward."""
     return preds.groupBy(KEY, "window").agg(
-        F.count(F.lit(1)).alias("n"), F.min(TIME).alias("test_start"), F.max(TIME).alias("test_end"),
+        F.first("n_train").alias("n_train"), F.count(F.lit(1)).alias("n"), F.min(TIME).alias("test_start"), F.max(TIME).alias("test_end"),
         rmse().alias("rmse"), qlike().alias("qlike"),
     )
 
 
 def correlation_history(table: DataFrame, features: Sequence[str], step: int = 252) -> DataFrame:
-    """Absolute correlation with the target per stretch of ``step`` rows, as an importance history."""
+    """Absolute correlation with the target per stretch of ``step`` rows, as an importance history.
+
+    The last stretch may be shorter: ``n`` has its rows, and one row or a constant has no correlation.
+    """
     rows = table.withColumn("window", F.floor((F.col("pos") - 1) / step))
     wide = rows.groupBy(KEY, "window").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.abs(F.corr(f, "target")).alias(f) for f in features]
-    )
-    return wide.filter(F.col("_n") == step).unpivot(
-        [KEY, "window"], list(features), "feature", "importance"
+        F.count(F.lit(1)).alias("n"), *[F.abs(F.corr(f, "target")).alias(f) for f in features]
     )
+    long = wide.unpivot([KEY, "window", "n"], list(features), "feature", "importance")
+    return long.withColumn("importance", F.nanvl("importance", F.lit(None)))
 
 
 def importance_profile(history: DataFrame, top_k: int = 10) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barograph.functions.windows import stack
+from barograph.operators import boosting as bo
 from barograph.operators import cross as cr
 from barograph.operators import evaluate as ev
 from barograph.operators import garch as ga
@@ -611,27 +612,34 @@ register(
     ),
 )
 
-# --- tree models: refitted once a year of rows over the whole history ----------------
+# --- tree models: refitted for each series every 21 rows, all windows in one job -------
 
-YEARLY = 252
 
-
-def yearly_boosting(s, d):
-    table = rt.base_features(rets(s, d))
-    longest = table.agg(F.max("pos")).first()[0] or 0
-    windows = max(0, -(-(longest - 756) // YEARLY))
-    return se.boosted_walk_forward(table, BASE, windows, 756, YEARLY, iterations=10)
+def base_table(s, d):
+    return rt.base_features(rets(s, d))
 
 
 register(
     "f8_boosted_walk_forward",
-    "series_id:s window:i n:i test_start:d test_end:d rmse:4 qlike:3",
-    lambda s, d: se.window_metrics(yearly_boosting(s, d)[0]),
+    "series_id:s window:i n_train:i n:i test_start:d test_end:d rmse:4 qlike:3",
+    lambda s, d: se.window_metrics(bo.forecasts(bo.walk_forward(base_table(s, d), BASE, bo.FORECAST))),
 )
+
+
+@shared(store=True)
+def importance_history(s, d):
+    return bo.importances(bo.walk_forward(base_table(s, d), BASE, bo.HISTORY))
+
+
 register(
     "f14_importance_history",
     "series_id:s window:i feature:s importance:6 mean_importance:6 place:i scaled:6",
-    lambda s, d: se.importance_profile(yearly_boosting(s, d)[1]),
+    lambda s, d: se.importance_profile(importance_history(s, d)),
+)
+register(
+    "x20_importance_stability",
+    "series_id:s window:i spearman_rho:6 p_value:6 n:i",
+    lambda s, d: hy.rank_stability(importance_history(s, d), "window", "feature", "importance"),
 )
 
 
@@ -645,16 +653,17 @@ CORRH = (
     "ch0 AS (SELECT *, (pos - 1) // 252 AS wn FROM bf)",
     "chw AS ("
     + " UNION ALL ".join(
-        f"SELECT series_id, wn, '{c}' AS feature, abs(corr({c}, target)) AS importance FROM ch0 GROUP BY 1, 2 HAVING count(*) = 252" for c in BASE
+        f"SELECT series_id, wn, '{c}' AS feature, n, CASE WHEN isnan(x) THEN NULL ELSE x END AS importance FROM "
+        f"(SELECT series_id, wn, count(*) AS n, abs(corr({c}, target)) AS x FROM ch0 GROUP BY 1, 2)" for c in BASE
     )
     + ")",
 )
 register(
     "f14_correlation_profile",
-    "series_id:s window:i feature:s importance:6 mean_importance:6 place:i scaled:6",
+    "series_id:s window:i n:i feature:s importance:6 mean_importance:6 place:i scaled:6",
     lambda s, d: se.importance_profile(corr_history(s, d)),
     sql_r(
-        "SELECT series_id, wn AS \"window\", feature, importance, mean_importance, place, coalesce((importance - lo) / nullif(hi - lo, 0), 0) AS scaled FROM chw JOIN ("
+        "SELECT series_id, wn AS \"window\", n, feature, importance, mean_importance, place, coalesce((importance - lo) / nullif(hi - lo, 0), 0) AS scaled FROM chw JOIN ("
         "SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY mean_importance DESC, feature) AS place FROM (SELECT series_id, feature, avg(importance) AS mean_importance, "
         "min(importance) AS lo, max(importance) AS hi FROM chw GROUP BY 1, 2)) USING (series_id, feature) WHERE place <= 10",
         *CORRH,
@@ -666,7 +675,7 @@ register(
     lambda s, d: hy.rank_stability(corr_history(s, d), "window", "feature", "importance"),
     sql_r(
         "SELECT series_id, wn AS \"window\", corr(p, rk) AS spearman_rho, count(*) AS n FROM (SELECT *, lag(rk) OVER (PARTITION BY series_id, feature ORDER BY wn) AS p FROM "
-        "(SELECT *, rank() OVER (PARTITION BY series_id, wn ORDER BY importance) + (count(*) OVER (PARTITION BY series_id, wn, importance) - 1) / 2.0 AS rk FROM chw)) WHERE p IS NOT NULL GROUP BY 1, 2",
+        "(SELECT *, rank() OVER (PARTITION BY series_id, wn ORDER BY importance) + (count(*) OVER (PARTITION BY series_id, wn, importance) - 1) / 2.0 AS rk FROM chw WHERE importance IS NOT NULL)) WHERE p IS NOT NULL GROUP BY 1, 2",
         *CORRH,
     ),
 )
@@ -723,7 +732,7 @@ def augmented(s, d):
 register(
     "f16_regime_boosting",
     "series_id:s t:d model:s actual:4 pred:4",
-    lambda s, d: se.boosted_tail(augmented(s, d), AUG, "regime_gbt"),
+    lambda s, d: bo.boosted_tail(rr.train_test(augmented(s, d)), AUG, "regime_gbt"),
 )
 
 
@@ -732,7 +741,7 @@ def _three_models(s, d):
     cols = ["series_id", "t", "regime", "model", "actual", "pred"]
     return stack(
         rr.regime_predictions(table).select(*cols),
-        se.boosted_tail(augmented(s, d), AUG, "regime_gbt", keep=["regime"]).select(*cols),
+        bo.boosted_tail(rr.train_test(augmented(s, d)), AUG, "regime_gbt", keep=["regime"]).select(*cols),
     )
 
 
