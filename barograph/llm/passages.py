@@ -313,7 +313,8 @@ class Block:
 
 
 def passage_rows(shard: int, fan: int, spans: list[tuple], fresh: list[tuple]) -> list[tuple]:
-    rows = [(shard, fan, block, None, row, place, size, None) for (block, row), place, size in spans]
+    # what is settled doesn't go to the shard but travels by block: a shard of many copies has many spans
+    rows = [(-1 - block, fan, block, None, row, place, size, None) for (block, row), place, size in spans]
     return rows + [
         (shard, fan, block, doc, row, place, len(words), b" ".join(words)) for doc, (block, row), place, words in fresh
     ]
@@ -324,14 +325,13 @@ def passage_table(rows: list[tuple]) -> pa.Table:
 
 
 def met(table: pa.Table) -> pa.Table:
-    """Step 4: the passages of some blocks in one shard; spans found before are passed on."""
+    """Step 4: the passages of some blocks in one shard; the spans of a block are passed on."""
     rows = table.to_pylist()
     shard, fan = rows[0]["shard"], rows[0]["fan"]
-    found = [((r["block"], r["row"]), r["place"], r["size"]) for r in rows if r["text"] is None]
-    spans, fresh = streamed(
-        [(r["doc_id"], (r["block"], r["row"]), r["place"], r["text"].split()) for r in rows if r["text"] is not None]
-    )
-    return passage_table(passage_rows(shard, fan, found + spans, fresh))
+    if shard < 0:
+        return table
+    spans, fresh = streamed([(r["doc_id"], (r["block"], r["row"]), r["place"], r["text"].split()) for r in rows])
+    return passage_table(passage_rows(shard, fan, spans, fresh))
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
