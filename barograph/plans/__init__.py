@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("market", "cross", "intraday", "evaluation", "hypothesis", "risk", "forecast", "spillover", "drift", "streams")
+MODULES = ("market", "cross", "intraday", "evaluation", "hypothesis", "risk", "forecast", "spillover", "drift", "streams", "many")
 
 
 def load():
