@@ -26,7 +26,7 @@ def _place(df: DataFrame, score: str, out: str, top_k: int | None) -> DataFrame:
 
 def pearson_ranking(train: DataFrame, features: Sequence[str], top_k: int | None = 20) -> DataFrame:
     corr = target_correlations(train, features).select(
-        KEY, "feature", F.abs("corr").alias("pearson_abs_corr")
+        KEY, "feature", F.nanvl(F.abs("corr"), F.lit(None)).alias("pearson_abs_corr")
     )
     return _place(corr, "pearson_abs_corr", "rank_pearson", top_k)
 
@@ -36,13 +36,14 @@ def mutual_information_ranking(
 ) -> DataFrame:
     """Mutual information of each feature with the target over quantile bins.
 
+    Values that agree to nine decimals are ties, which the date settles.
     Bins come from window ranks of the feature columns; what is shuffled afterwards is the
     joint count table, at most ``bins^2`` rows per series and feature.
     """
     rows = train.select(KEY, TIME, "target", *features)
 
     def binned(c: str):
-        return F.ntile(bins).over(Window.partitionBy(KEY).orderBy(c, TIME)).alias(c)
+        return F.ntile(bins).over(Window.partitionBy(KEY).orderBy(F.round(c, 9), TIME)).alias(c)
 
     coded = rows.select(KEY, binned("target"), *[binned(f) for f in features])
     long = coded.unpivot([KEY, "target"], list(features), "feature", "b")

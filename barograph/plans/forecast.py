@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barograph.functions.windows import stack
+from barograph.functions.windows import by_series, stack
 from barograph.operators import boosting as bo
 from barograph.operators import cross as cr
 from barograph.operators import evaluate as ev
@@ -15,17 +15,20 @@ from barograph.operators import regimes as rg
 from barograph.operators import regression as rr
 from barograph.operators import returns as rt
 from barograph.operators import selection as se
+from barograph.operators import technical as te
 from barograph.plans import sqltext as sq
 from barograph.plans.cross import (
-    JOINED, OTHERS, PN, PV, SPARSE, SPILL, TERCILE, rv_panel, sparse_index, tercile_regimes,
+    JOINED, OTHERS, PN, PV, SPARSE, SPILL, TERCILE, ret_panel, rv_panel, sparse_index, tercile_regimes,
 )
 from barograph.plans.evaluation import MODELS, PRED, QL, metrics_sql
 from barograph.plans.evaluation import predictions as naive
 from barograph.plans.intraday import MOMF, moment_table, sql_i
 from barograph.plans.market import AHAR_SQL, BASE_SQL, HAR_TABLE, _VOL, sql_r
+from barograph.plans.registry import QUERIES
 from barograph.plans.registry import register_reusing as register
 from barograph.plans.registry import shared
-from barograph.plans.tables import SERIES, rets, vols
+from barograph.plans.tables import BENCHMARK, SERIES, rets, vols
+from barograph.sources.checkpoint import stored
 
 HAR = list(rt.HAR)
 lag = sq.lag
@@ -388,58 +391,103 @@ register(
 )
 
 BASE = list(rt.BASE_FEATURES)
+# what the enriched matrix adds to the base features, by the query that has each column's twin
+ADDED = {
+    "t2_atr": [f"atr{m}_{k}d" for k in (5, 14, 21) for m in ("", "_norm")],
+    "t3_bollinger": ["bb_width_20d", "bb_pct_b_20d"],
+    "t4_rsi": ["rsi_14d", "rsi_extreme_dist"],
+    "t5_price_gap": [f"price_ma_gap{m}_{k}d" for m in ("", "_abs") for k in (10, 50)],
+    "t6_macd": ["macd_norm", "macd_abs_norm", "macd_delta"],
+    "t7_volume_ratio": ["vol_ratio_21d", "vol_x_ret_lag_1"],
+    "t8_sign_streak": ["return_streak"],
+    "m1_term_slopes": ["ts_slope_5_21", "ts_slope_21_63", "ts_slope_5_63"],
+    "m2_vol_of_vol": ["vov_10d", "vov_21d"],
+    "m3_range_spread": ["park_gk_spread_21d", "park_gk_spread_norm"],
+    "m4_rolling_shape": ["realized_skew_21d", "realized_kurt_21d"],
+    "m5_up_down_ratio": ["updown_vol_ratio_21d"],
+    "m6_jump_count": ["jump_count_21d"],
+    "m8_dispersion": ["cross_asset_dispersion", "dispersion_5d_avg"],
+    "m9_benchmark_context": ["bench_vol"],
+    "m10_rolling_beta": ["rolling_beta_21d", "beta_instability_21d"],
+    "m11_series_spread": ["spread_mean", "spread_vol"],
+    "m12_bull_regime": ["bull_regime_flag"],
+}
+MATRIX = [*BASE, *(c for cols in ADDED.values() for c in cols)]
 
 
-@shared()
-def base_train(s, d):
-    return rr.train_test(rt.base_features(rets(s, d))).filter(~F.col("is_test"))
-
-
-BTRAIN = (
+@shared(store=True)
+def enriched(s, d):
+    """Base, technical, surface and cross-series features of a row, complete rows only."""
+    # one plan of all features takes the planner minutes, so daily tables are written in between
+    df = stored(te.technical_features(stored(vols(s, d), "volatility")), "technical")
+    df = stored(te.surface_features(df), "surface")
+    panel = stored(ret_panel(rets(s, d)), "panel")
+    df = cr.dispersion(df, panel, SERIES)
+    df = cr.benchmark_context(df, BENCHMARK, "vol_c2c_21d", "bench_vol")
+    df = cr.rolling_beta(df, panel, SERIES, BENCHMARK)
+    df = cr.spread_features(df, panel, "R", "N")
+    df = cr.bull_regime(df, panel, BENCHMARK)
+    added = [c for cols in ADDED.values() for c in cols]
+    base = rt.base_features(rets(s, d)).drop("pos")
+    # the benchmark's beta to itself is one up to the last bits, which must not count as a feature
+    df = stored(df.select("series_id", "t", *[F.round(c, 8).alias(c) for c in added]), "added")
+    full = base.join(df, ["series_id", "t"]).dropna("any", subset=added)
+    return full.withColumn("pos", F.row_number().over(by_series()))
+
+
+def matrix_train(s, d):
+    return rr.train_test(enriched(s, d)).filter(~F.col("is_test"))
+
+
+_ADDED = ", ".join(MATRIX[len(BASE):])
+MTRAIN = (
     *BASE_SQL,
-    "bt0 AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS bn FROM bf)",
-    "btr AS (SELECT * FROM bt0 WHERE pos <= bn - 500)",
+    "em AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) AS mpos, count(*) OVER (PARTITION BY series_id) AS mn "
+    f"FROM (SELECT series_id, t, {', '.join(BASE)}, target, {_ADDED} FROM bf "
+    + " ".join(f"JOIN (SELECT series_id, t, {', '.join(f'round({c}, 8) AS {c}' for c in cols)} FROM ({QUERIES[q].sql})) USING (series_id, t)" for q, cols in ADDED.items())
+    + ") WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in MATRIX[len(BASE):]) + ")",
+    "btr AS MATERIALIZED (SELECT * FROM em WHERE mpos <= mn - 500)",
 )
 register(
     "f22_pearson_ranking",
     "series_id:s feature:s pearson_abs_corr:6 rank_pearson:i",
-    lambda s, d: se.pearson_ranking(base_train(s, d), BASE, None),
+    lambda s, d: se.pearson_ranking(matrix_train(s, d), MATRIX, None),
     sql_r(
-        "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(pearson_abs_corr, 9) DESC, feature) AS rank_pearson FROM ("
+        "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(pearson_abs_corr, 9) DESC NULLS LAST, feature) AS rank_pearson FROM ("
         + " UNION ALL ".join(
-            f"SELECT series_id, '{c}' AS feature, abs(corr({c}, target)) AS pearson_abs_corr FROM btr GROUP BY series_id" for c in BASE
+            f"SELECT series_id, '{c}' AS feature, CASE WHEN NOT isnan(corr({c}, target)) THEN abs(corr({c}, target)) END AS pearson_abs_corr FROM btr GROUP BY series_id" for c in MATRIX
         )
         + "))",
-        *BTRAIN,
+        *MTRAIN,
     ),
 )
 _NT = ", ".join(
-    f"ntile(10) OVER (PARTITION BY series_id ORDER BY {c}, t) AS {c}" for c in (*BASE, "target")
+    f"ntile(10) OVER (PARTITION BY series_id ORDER BY round({c}, 9), t) AS {c}" for c in (*MATRIX, "target")
 )
 register(
     "f23_mutual_information",
     "series_id:s feature:s mutual_info:6 rank_mi:i",
-    lambda s, d: se.mutual_information_ranking(base_train(s, d), BASE, top_k=None),
+    lambda s, d: se.mutual_information_ranking(matrix_train(s, d), MATRIX, top_k=None),
     sql_r(
         "SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(mutual_info, 9) DESC, feature) AS rank_mi FROM (SELECT series_id, feature, sum(c / n * ln(c * n / (nx * ny))) AS mutual_info FROM ("
         "SELECT *, sum(c) OVER (PARTITION BY series_id, feature) AS n, sum(c) OVER (PARTITION BY series_id, feature, b) AS nx, sum(c) OVER (PARTITION BY series_id, feature, target) AS ny FROM ("
         + " UNION ALL ".join(
-            f"SELECT series_id, '{c}' AS feature, {c} AS b, target, CAST(count(*) AS DOUBLE) AS c FROM nt GROUP BY ALL" for c in BASE
+            f"SELECT series_id, '{c}' AS feature, {c} AS b, target, CAST(count(*) AS DOUBLE) AS c FROM nt GROUP BY ALL" for c in MATRIX
         )
         + ")) GROUP BY 1, 2)",
-        *BTRAIN,
+        *MTRAIN,
         f"nt AS (SELECT series_id, {_NT} FROM btr)",
     ),
 )
 register(
     "f24_tree_gain_ranking",
     "series_id:s feature:s tree_gain:6 rank_tree:i",
-    lambda s, d: se.tree_gain_ranking(base_train(s, d), BASE, top_k=None),
+    lambda s, d: se.tree_gain_ranking(matrix_train(s, d), MATRIX, top_k=None),
 )
 
 
 def _elimination(s, d):
-    return se.recursive_elimination(base_train(s, d), BASE)
+    return se.recursive_elimination(matrix_train(s, d), MATRIX)
 
 
 register(
@@ -452,12 +500,12 @@ register(
 
 
 def merged_rankings(s, d, top_k=None):
-    train = base_train(s, d)
+    train = matrix_train(s, d)
     return se.merge_rankings(
-        se.pearson_ranking(train, BASE, top_k),
-        se.mutual_information_ranking(train, BASE, top_k=top_k),
-        se.tree_gain_ranking(train, BASE, top_k=top_k),
-        se.recursive_elimination(train, BASE),
+        se.pearson_ranking(train, MATRIX, top_k),
+        se.mutual_information_ranking(train, MATRIX, top_k=top_k),
+        se.tree_gain_ranking(train, MATRIX, top_k=top_k),
+        se.recursive_elimination(train, MATRIX),
     )
 
 
