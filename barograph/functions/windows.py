@@ -38,6 +38,14 @@ def lead(x: Column | str, k: int = 1, w: WindowSpec | None = None) -> Column:
     return F.lead(col(x), k).over(w or by_series())
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Correlation over the rows of a group; null where a side is constant, which ``corr`` refuses."""
+    x, y = col(x), col(y)
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def trailing(
     agg: Callable[[Column], Column],
     x: Column | str,

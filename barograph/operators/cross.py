@@ -16,6 +16,7 @@ from barograph.functions.windows import (
     KEY,
     TIME,
     by_series,
+    correlation,
     decayed_sum,
     lag,
     lead,
@@ -286,5 +287,5 @@ def regime_features(df: DataFrame, regimes: DataFrame) -> DataFrame:
 
 def target_correlations(df: DataFrame, features: Sequence[str], target: str = "target") -> DataFrame:
     """Correlation of every feature with the target, one pass over the rows."""
-    wide = df.groupBy(KEY).agg(*[F.corr(f, target).alias(f) for f in features])
+    wide = df.groupBy(KEY).agg(*[correlation(f, target).alias(f) for f in features])
     return wide.unpivot([KEY], list(features), "feature", "corr")

@@ -21,7 +21,7 @@ from barograph.functions.special import (
     f_tail,
     t_tail2,
 )
-from barograph.functions.windows import KEY, TIME, by_series, lag, lead, trailing, whole_series
+from barograph.functions.windows import KEY, TIME, by_series, correlation, lag, lead, trailing, whole_series
 from barograph.sources.bars import panel_pairs
 
 # --- stationarity --------------------------------------------------------------------
@@ -649,7 +649,7 @@ def rank_stability(history: DataFrame, window: str, item: str, score: str) -> Da
         {"_prev": F.lag("_rank").over(before), "_pw": F.lag(window).over(before)}
     ).filter(F.col("_pw") == F.col(window) - 1)
     rho = pairs.groupBy(KEY, window).agg(
-        F.corr("_prev", "_rank").alias("spearman_rho"), F.count(F.lit(1)).alias("n")
+        correlation("_prev", "_rank").alias("spearman_rho"), F.count(F.lit(1)).alias("n")
     )
     stat = F.col("spearman_rho") * F.sqrt(
         F.try_divide(F.col("n") - 2, F.greatest(1 - F.col("spearman_rho") * F.col("spearman_rho"), F.lit(1e-300)))

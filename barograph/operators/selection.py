@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barograph.functions import linalg
-from barograph.functions.windows import KEY, TIME
+from barograph.functions.windows import KEY, TIME, correlation
 from barograph.operators.boosting import RANKING, Boosting, tree_gains
 from barograph.operators.cross import target_correlations
 from barograph.operators.evaluate import qlike, rmse
@@ -26,7 +26,7 @@ def _place(df: DataFrame, score: str, out: str, top_k: int | None) -> DataFrame:
 
 def pearson_ranking(train: DataFrame, features: Sequence[str], top_k: int | None = 20) -> DataFrame:
     corr = target_correlations(train, features).select(
-        KEY, "feature", F.nanvl(F.abs("corr"), F.lit(None)).alias("pearson_abs_corr")
+        KEY, "feature", F.abs("corr").alias("pearson_abs_corr")
     )
     return _place(corr, "pearson_abs_corr", "rank_pearson", top_k)
 
@@ -167,10 +167,9 @@ def correlation_history(table: DataFrame, features: Sequence[str], step: int = 2
     """
     rows = table.withColumn("window", F.floor((F.col("pos") - 1) / step))
     wide = rows.groupBy(KEY, "window").agg(
-        F.count(F.lit(1)).alias("n"), *[F.abs(F.corr(f, "target")).alias(f) for f in features]
+        F.count(F.lit(1)).alias("n"), *[F.abs(correlation(f, "target")).alias(f) for f in features]
     )
-    long = wide.unpivot([KEY, "window", "n"], list(features), "feature", "importance")
-    return long.withColumn("importance", F.nanvl("importance", F.lit(None)))
+    return wide.unpivot([KEY, "window", "n"], list(features), "feature", "importance")
 
 
 def importance_profile(history: DataFrame, top_k: int = 10) -> DataFrame:
