@@ -729,20 +729,88 @@ register(
 )
 
 
-@shared()
+EM_STEPS = 25
+
+
+@shared(store=True)
 def mixture(s, d):
-    return rg.mixture_regimes(vols(s, d), "vol_c2c_21d")
+    return rg.mixture_regimes(vols(s, d), "vol_c2c_21d", EM_STEPS)
+
+
+def _em_sql(before: str, after: str) -> str:
+    """One EM step of all series; ``before`` and ``after`` hold weights, means and variances."""
+    def each(text: str) -> str:
+        return ", ".join(text.replace("#", str(k)) for k in range(3))
+
+    return (
+        f"{after} AS MATERIALIZED (SELECT series_id, "
+        + each("r# / n AS w#, CASE WHEN r# > 1e-12 THEN s# / r# ELSE m# END AS m#, CASE WHEN r# > 1e-12 THEN greatest(q# / r# - pow(s# / r#, 2), 1e-4) ELSE v# END AS v#")
+        + " FROM (SELECT series_id, count(*) AS n, "
+        + each("any_value(m#) AS m#, any_value(v#) AS v#, sum(e# / e) AS r#, sum(e# / e * z) AS s#, sum(e# / e * z * z) AS q#")
+        + f" FROM (SELECT *, e0 + e1 + e2 AS e FROM (SELECT zz.series_id, z, {each('m#, v#')}, "
+        + each("w# * exp(-0.5 * pow(z - m#, 2) / v#) / sqrt(2 * pi() * v#) AS e#")
+        + f" FROM zz JOIN {before} ON zz.series_id = {before}.series_id)) GROUP BY series_id))"
+    )
 
 
+LOGVOL = (
+    _VOL,
+    "zz AS MATERIALIZED (SELECT series_id, t, lv, (lv - avg(lv) OVER (PARTITION BY series_id)) / coalesce(nullif(stddev_pop(lv) OVER (PARTITION BY series_id), 0), 1) AS z "
+    "FROM (SELECT series_id, t, ln(vol_c2c_21d + 1e-10) AS lv FROM v WHERE vol_c2c_21d IS NOT NULL))",
+)
+MIX = (
+    *LOGVOL,
+    "em0 AS MATERIALIZED (SELECT series_id, "
+    + ", ".join(
+        f"1.0 / 3 AS w{k}, coalesce(avg(z) FILTER (g = {k}), 0) AS m{k}, greatest(coalesce(var_pop(z) FILTER (g = {k}), 1), 1e-4) AS v{k}" for k in range(3)
+    )
+    + " FROM (SELECT *, ntile(3) OVER (PARTITION BY series_id ORDER BY z, t) - 1 AS g FROM zz) GROUP BY series_id)",
+    *[_em_sql(f"em{i}", f"em{i + 1}") for i in range(EM_STEPS)],
+    "mo AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY m, k) - 1 AS state FROM ("
+    + " UNION ALL ".join(f"SELECT series_id, {k} AS k, w{k} AS w, m{k} AS m, v{k} AS v FROM em{EM_STEPS}" for k in range(3))
+    + "))",
+    "md0 AS (SELECT zz.series_id, zz.t, lv, state, w * exp(-0.5 * pow(z - m, 2) / v) / sqrt(2 * pi() * v) AS e FROM zz JOIN mo ON zz.series_id = mo.series_id)",
+    "mx AS MATERIALIZED (SELECT series_id, t, any_value(lv) AS lv, arg_max(state, (e, -state)) AS regime, "
+    + ", ".join(f"sum(e) FILTER (state = {k}) / sum(e) AS post_{n}" for k, n in enumerate(rg.NAMES))
+    + " FROM md0 GROUP BY 1, 2)",
+    f"mn AS (SELECT *, {sq.lead('regime')} AS nx FROM mx)",
+)
 _POST = "post_low:4 post_med:4 post_high:4"
-register("e17_mixture_regimes", "series_id:s t:d regime:i", mixture)
+register(
+    "e17_mixture_parameters",
+    "series_id:s state:i weight:5 mean:5 variance:5",
+    lambda s, d: rg.mixture_parameters(rg.log_volatility(vols(s, d), "vol_c2c_21d"), EM_STEPS).select(
+        "series_id",
+        F.inline(F.array(*[
+            F.struct(F.lit(k).alias("state"), F.col(f"w{k}").alias("weight"), F.col(f"m{k}").alias("mean"), F.col(f"v{k}").alias("variance"))
+            for k in range(3)
+        ])),
+    ),
+    sql_r("SELECT series_id, state, w AS weight, m AS mean, v AS variance FROM mo", *MIX),
+)
+register("e17_mixture_regimes", "series_id:s t:d regime:i", mixture, sql_r("SELECT series_id, t, regime FROM mx", *MIX))
 register(
     "e17_regime_statistics",
     "series_id:s regime:i n:i mean_vol:4 std_log_vol:4 persistence:4 frequency_pct:4",
     lambda s, d: rg.regime_statistics(mixture(s, d)),
+    sql_r(
+        "SELECT *, n / sum(n) OVER (PARTITION BY series_id) * 100 AS frequency_pct FROM (SELECT series_id, regime, count(*) AS n, "
+        "exp(avg(lv)) AS mean_vol, stddev_samp(lv) AS std_log_vol, avg(CASE WHEN nx IS NOT NULL THEN CAST(nx = regime AS INTEGER) END) AS persistence FROM mn GROUP BY 1, 2)",
+        *MIX,
+    ),
 )
 _TRN = "series_id:s from_regime:i to_low:6 to_med:6 to_high:6"
-register("e17_transition_matrix", _TRN, lambda s, d: rg.transition_matrix(mixture(s, d)))
+register(
+    "e17_transition_matrix",
+    _TRN,
+    lambda s, d: rg.transition_matrix(mixture(s, d)),
+    sql_r(
+        "SELECT series_id, regime AS from_regime, "
+        + ", ".join(f"avg(CAST(nx = {k} AS INTEGER)) AS to_{n}" for k, n in enumerate(rg.NAMES))
+        + " FROM mn WHERE nx IS NOT NULL GROUP BY 1, 2",
+        *MIX,
+    ),
+)
 register(
     "e17_tercile_transitions",
     _TRN,
@@ -754,11 +822,87 @@ register(
         _VOL, *TERCILE,
     ),
 )
-register("e18_posteriors", f"series_id:s t:d {_POST}", mixture)
+register("e18_posteriors", f"series_id:s t:d {_POST}", mixture, sql_r("SELECT * FROM mx", *MIX))
+
+
+def tercile_levels(s, d):
+    """Tercile labels with the standardised log volatility of their rows."""
+    levels = rg.log_volatility(vols(s, d), "vol_c2c_21d").select("series_id", "t", "z")
+    return tercile_regimes(vols(s, d)).select("series_id", "t", "regime").join(levels, ["series_id", "t"])
+
+
+_LOG = "CASE WHEN {0} > 0 THEN ln({0}) ELSE CAST('-Infinity' AS DOUBLE) END"
+# emissions e0..e2 of every row and log moves a00..a22 of every series
+TERCILE_ROWS = (
+    *LOGVOL, *TERCILE,
+    "pg AS (SELECT tl.series_id, tl.t, z, CASE regime WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS g, "
+    "row_number() OVER (PARTITION BY tl.series_id ORDER BY tl.t) AS pos FROM tl JOIN zz ON tl.series_id = zz.series_id AND tl.t = zz.t)",
+)
+MIXTURE_ROWS = (
+    *MIX,
+    "pg AS (SELECT mx.series_id, mx.t, z, regime AS g, row_number() OVER (PARTITION BY mx.series_id ORDER BY mx.t) AS pos "
+    "FROM mx JOIN zz ON mx.series_id = zz.series_id AND mx.t = zz.t)",
+)
+STEPS = (
+    "pl AS (SELECT series_id, " + ", ".join(f"avg(z) FILTER (g = {k}) AS m{k}, greatest(stddev_pop(z) FILTER (g = {k}), 1e-3) AS s{k}" for k in range(3)) + " FROM pg GROUP BY 1)",
+    f"pn0 AS (SELECT *, {sq.lead('g')} AS nx FROM pg)",
+    "pm0 AS (SELECT series_id, "
+    + ", ".join(f"coalesce(avg(CAST(nx = {j} AS INTEGER)) FILTER (g = {i}), 1.0 / 3) AS p{i}{j}" for i in range(3) for j in range(3))
+    + " FROM pn0 WHERE nx IS NOT NULL GROUP BY 1)",
+    "pa AS (SELECT series_id, " + ", ".join(f"{_LOG.format(f'p{i}{j}')} AS a{i}{j}" for i in range(3) for j in range(3)) + " FROM pm0)",
+    "pe AS MATERIALIZED (SELECT pg.series_id, t, pos, "
+    + ", ".join(f"CASE WHEN s{k} IS NULL THEN CAST('-Infinity' AS DOUBLE) ELSE -0.5 * pow((z - m{k}) / s{k}, 2) - ln(s{k}) END AS e{k}" for k in range(3))
+    + f", {', '.join(f'a{i}{j}' for i in range(3) for j in range(3))} FROM pg JOIN pl USING (series_id) JOIN pa USING (series_id))",
+)
+_COME = [[f"fw.f{i} + pe.a{i}{j}" for i in range(3)] for j in range(3)]
+BEST = (
+    "fw AS (SELECT series_id, pos, e0 - ln(3) AS f0, e1 - ln(3) AS f1, e2 - ln(3) AS f2, 0 AS b0, 0 AS b1, 0 AS b2 FROM pe WHERE pos = 1 UNION ALL "
+    "SELECT pe.series_id, pe.pos, "
+    + ", ".join(f"greatest({', '.join(c)}) + pe.e{j}" for j, c in enumerate(_COME)) + ", "
+    + ", ".join(f"CASE WHEN {c[0]} >= greatest({c[1]}, {c[2]}) THEN 0 WHEN {c[1]} >= {c[2]} THEN 1 ELSE 2 END" for c in _COME)
+    + " FROM fw JOIN pe ON pe.series_id = fw.series_id AND pe.pos = fw.pos + 1)",
+    "bw AS (SELECT series_id, pos, CASE WHEN f0 >= greatest(f1, f2) THEN 0 WHEN f1 >= f2 THEN 1 ELSE 2 END AS state FROM fw "
+    "WHERE (series_id, pos) IN (SELECT series_id, max(pos) FROM pe GROUP BY 1) UNION ALL "
+    "SELECT bw.series_id, bw.pos - 1, CASE bw.state WHEN 0 THEN fw.b0 WHEN 1 THEN fw.b1 ELSE fw.b2 END "
+    "FROM bw JOIN fw ON fw.series_id = bw.series_id AND fw.pos = bw.pos WHERE bw.pos > 1)",
+)
+register(
+    "e19_tercile_path",
+    "series_id:s t:d state:i",
+    lambda s, d: rg.likely_path(tercile_levels(s, d)),
+    sql_r("SELECT pe.series_id, pe.t, state FROM bw JOIN pe ON pe.series_id = bw.series_id AND pe.pos = bw.pos", *TERCILE_ROWS, *STEPS, *BEST).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+# scaled by the sum of each row, so that products of probabilities don't vanish
+_AHEAD = [" + ".join(f"ah.f{i} * exp(pe.a{i}{j})" for i in range(3)) for j in range(3)]
+_BEHIND = [" + ".join(f"exp(nx.a{i}{j} + nx.e{j}) * bh.g{j}" for j in range(3)) for i in range(3)]
+SMOOTH = (
+    "ah AS (SELECT series_id, pos, exp(e0) / (exp(e0) + exp(e1) + exp(e2)) AS f0, exp(e1) / (exp(e0) + exp(e1) + exp(e2)) AS f1, exp(e2) / (exp(e0) + exp(e1) + exp(e2)) AS f2 "
+    "FROM pe WHERE pos = 1 UNION ALL SELECT series_id, pos, x0 / (x0 + x1 + x2), x1 / (x0 + x1 + x2), x2 / (x0 + x1 + x2) FROM (SELECT pe.series_id, pe.pos, "
+    + ", ".join(f"({x}) * exp(pe.e{j}) AS x{j}" for j, x in enumerate(_AHEAD))
+    + " FROM ah JOIN pe ON pe.series_id = ah.series_id AND pe.pos = ah.pos + 1))",
+    "bh AS (SELECT series_id, max(pos) AS pos, 1.0 :: DOUBLE AS g0, 1.0 :: DOUBLE AS g1, 1.0 :: DOUBLE AS g2 FROM pe GROUP BY 1 UNION ALL "
+    "SELECT series_id, pos, x0 / (x0 + x1 + x2), x1 / (x0 + x1 + x2), x2 / (x0 + x1 + x2) FROM (SELECT nx.series_id, nx.pos - 1 AS pos, "
+    + ", ".join(f"{x} AS x{i}" for i, x in enumerate(_BEHIND))
+    + " FROM bh JOIN pe nx ON nx.series_id = bh.series_id AND nx.pos = bh.pos WHERE nx.pos > 1))",
+)
+register(
+    "e18_smoothed_states",
+    "series_id:s t:d smooth_low:5 smooth_med:5 smooth_high:5",
+    lambda s, d: rg.smoothed_states(tercile_levels(s, d)),
+    sql_r(
+        "SELECT pe.series_id, pe.t, f0 * g0 / (f0 * g0 + f1 * g1 + f2 * g2) AS smooth_low, f1 * g1 / (f0 * g0 + f1 * g1 + f2 * g2) AS smooth_med, "
+        "f2 * g2 / (f0 * g0 + f1 * g1 + f2 * g2) AS smooth_high FROM pe JOIN ah ON ah.series_id = pe.series_id AND ah.pos = pe.pos JOIN bh ON bh.series_id = pe.series_id AND bh.pos = pe.pos",
+        *TERCILE_ROWS, *STEPS, *SMOOTH,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 register(
     "e19_likely_path",
     "series_id:s t:d state:i",
     lambda s, d: rg.likely_path(mixture(s, d)),
+    sql_r(
+        "SELECT pe.series_id, pe.t, state FROM bw JOIN pe ON pe.series_id = bw.series_id AND pe.pos = bw.pos",
+        *MIXTURE_ROWS, *STEPS, *BEST,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 
 
@@ -767,7 +911,15 @@ def _regime_join(s, d):
     return rg.regime_table(m, rg.likely_path(m))
 
 
-register("e20_regime_table", f"series_id:s t:d regime:i {_POST} state:i", _regime_join)
+register(
+    "e20_regime_table",
+    f"series_id:s t:d regime:i {_POST} state:i",
+    _regime_join,
+    sql_r(
+        "SELECT mx.*, state FROM mx JOIN pe ON pe.series_id = mx.series_id AND pe.t = mx.t JOIN bw ON pe.series_id = bw.series_id AND pe.pos = bw.pos",
+        *MIXTURE_ROWS, *STEPS, *BEST,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 AUG = [*BASE, "regime_lag1", "post_low_lag1", "post_med_lag1", "post_high_lag1"]
 
 
