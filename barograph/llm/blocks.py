@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
@@ -11,15 +12,27 @@ from pyspark.sql import functions as F
 
 from barograph.llm.hashing import pack, unpack
 
+# the C library's way to return freed memory, where it has one
+trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 BLOCK_BYTES = 6 << 20
 KEY_SHIFT = np.uint64(16)  # frequencies are counted on the upper 48 bits of a key
 
 
+def give_back() -> None:
+    """Free memory of this worker goes back to the machine: workers are kept and serve later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim is not None:
+        trim(0)
+
+
 def sliced(batches, rows: int = 1_024):
-    """Smaller Arrow batches, so that few rows stand in Python's memory at a time."""
+    """Smaller Arrow batches, so that few rows stand in Python's memory at a time; none is kept at the end."""
     for b in batches:
         for a in range(0, b.num_rows, rows):
             yield b.slice(a, rows)
+    b = None
+    give_back()
 
 
 def with_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -52,6 +65,8 @@ def shared_frequencies(base: DataFrame, blocks: int, sets_of: Callable[[pa.Table
             for p, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist()))
             if b > a
         ]
+        del sets, keys, count
+        give_back()
         return pa.table([list(c) for c in zip(*rows)], schema=sent)
 
     def answer(table: pa.Table) -> pa.Table:

@@ -11,16 +11,19 @@ SPACES[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+MOST_KEPT = 1 << 21
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(of: np.uint64, count: int) -> np.ndarray:
-    """1, of, of^2, ... modulo 2^64; kept between calls."""
+    """1, of, of^2, ... modulo 2^64; up to MOST_KEPT are kept between calls."""
     have = _powers.get(int(of))
     if have is None or len(have) < count:
         steps = np.full(max(count, 1 << 16), of, dtype=np.uint64)
         steps[0] = 1
-        _powers[int(of)] = have = np.multiply.accumulate(steps)
+        have = np.multiply.accumulate(steps)
+        if len(have) <= MOST_KEPT:
+            _powers[int(of)] = have
     return have[:count]
 
 

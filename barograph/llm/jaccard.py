@@ -29,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barograph.llm.blocks import KEY_SHIFT, answered, places, shared_frequencies, with_blocks
+from barograph.llm.blocks import KEY_SHIFT, answered, give_back, places, shared_frequencies, sliced, with_blocks
 from barograph.llm.graph import components
-from barograph.llm.hashing import mix, shingle_sets, signature
+from barograph.llm.hashing import mix, runs, shingle_sets, signature
 from barograph.sources.checkpoint import stored
 
 BITMAP_WORDS = 16
 SMALL_TILE = 4
 TILE = 1_024
 BUCKET_ROWS = 8_000
+CHUNK_BYTES = 1 << 20  # texts whose sets stand in memory at a time
 
 
 def block_sets(table: pa.Table):
@@ -45,12 +46,13 @@ def block_sets(table: pa.Table):
     ids = table.column("doc_id").to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
     texts = table.column("text").to_pylist()
-    sets = shingle_sets([(texts[i] or "").encode("utf-8", "surrogatepass") for i in order])
+    texts = [(texts[i] or "").encode("utf-8", "surrogatepass") for i in order]
     seen: set[bytes] = set()
-    for i, s in zip(order, sets):
-        mark = signature(s)
-        yield ids[i], s, mark, ids[i] is not None and len(s) > 0 and mark not in seen
-        seen.add(mark)
+    for a, b in runs([len(t) for t in texts], CHUNK_BYTES):
+        for i, s in zip(order[a:b], shingle_sets(texts[a:b])):
+            mark = signature(s)
+            yield ids[i], s, mark, ids[i] is not None and len(s) > 0 and mark not in seen
+            seen.add(mark)
 
 
 def first_sets(table: pa.Table) -> list[np.ndarray]:
@@ -93,7 +95,11 @@ def leading_sets(base: DataFrame, shared: DataFrame) -> DataFrame:
                 rows.append((doc, len(s), mark, tokens, bitmap(s), s.tobytes()))
             else:
                 rows.append((doc, len(s), mark, None, None, None))
-        return pa.table([list(c) for c in zip(*rows)], schema=schema) if rows else schema.empty_table()
+        del keys, df
+        out = pa.table([list(c) for c in zip(*rows)], schema=schema) if rows else schema.empty_table()
+        del rows
+        give_back()
+        return out
 
     return (
         base.groupBy("block")
@@ -176,7 +182,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b, linked``: exact intersection of the sorted arrays."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             linked = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
