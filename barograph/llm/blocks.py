@@ -35,6 +35,21 @@ def sliced(batches, rows: int = 1_024):
     give_back()
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing will read again."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def let_go(df: DataFrame) -> None:
+    """Shuffle files of finished jobs go when the driver's collector finds that nothing refers to them."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def with_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
     """``doc_id, text, block`` and the number of blocks, so that a block has about BLOCK_BYTES."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -29,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barograph.llm.blocks import KEY_SHIFT, answered, give_back, places, shared_frequencies, sliced, with_blocks
+from barograph.llm.blocks import (
+    KEY_SHIFT, answered, discard, give_back, let_go, places, shared_frequencies, sliced, with_blocks,
+)
 from barograph.llm.graph import components
 from barograph.llm.hashing import mix, runs, shingle_sets, signature
 from barograph.sources.checkpoint import stored
@@ -200,14 +202,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def link(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
     spark = docs.sparkSession
+    let_go(docs)
     base, blocks = with_blocks(docs)
     rows = stored(leading_sets(base, shared_frequencies(base, blocks, first_sets)), "sets")
+    let_go(docs)
     classes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("class"))
     sets = rows.filter("tokens IS NOT NULL").join(classes, "sig").filter("doc_id = class")
     sets = stored(sets.dropDuplicates(["doc_id"]).select("doc_id", "n", "tokens", "bits", "items"), "leading")
     posts = sets.select(F.col("doc_id").alias("doc"), "n", "bits", F.explode("tokens").alias("token"))
     many = posts.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1")
     posts = stored(posts.join(many, "token"), "posts")
+    let_go(docs)
     largest = posts.agg(F.max("sets")).first()[0] or 0
     tested = spark.createDataFrame([], "a long, b long, linked boolean")
     found = spark.createDataFrame([], "node long, component long")
@@ -226,10 +231,14 @@ def link(docs: DataFrame) -> DataFrame:
         tiles = stored(lay_tiles(named), "tiles")
         pairs = proposals(tiles, tiles.count(), turn == "rest").join(tested, ["a", "b"], "left_anti")
         new = stored(verified(pairs, sets), "tested")
+        discard(tiles)
+        let_go(docs)
         if new.isEmpty():
             continue
         tested = tested.union(new)
         found = components(tested.filter("linked").select("a", "b"))
+    discard(sets, posts)
+    let_go(docs)
     labelled = rows.join(classes, "sig", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("node")
     )
