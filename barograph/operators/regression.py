@@ -92,12 +92,15 @@ def har_variant_metrics(
 
 
 def fold_ids(table: DataFrame, folds: int) -> DataFrame:
-    """``fold`` 0 is the first training block, 1..folds the test blocks of expanding CV."""
+    """``fold`` 0 is the first training block, 1..folds the test blocks of expanding CV.
+
+    A series with fewer rows than blocks has training rows only.
+    """
     n = F.count(F.lit(1)).over(whole_series())
     pos = F.row_number().over(by_series())
     size = F.floor(n / (folds + 1))
     first = n - folds * size
-    fold = F.when(pos <= first, 0).otherwise(F.floor((pos - first - 1) / size) + 1)
+    fold = F.when(pos <= first, 0).otherwise(F.floor((pos - first - 1) / F.greatest(size, F.lit(1))) + 1)
     return table.withColumn("fold", fold.cast("int"))
 
 
@@ -289,8 +292,9 @@ def bootstrap_intervals(
         KEY, "row", "_n", *[f"z{i}" for i in range(len(xs))],
         F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))).alias("replica"),
     ).withColumns({"_blk": F.floor((F.col("row") - 1) / block), "_off": (F.col("row") - 1) % block})
-    start = F.pmod(F.xxhash64(KEY, "replica", "_blk"), F.col("_n") - block + 1)
-    drawn = slots.withColumn("_src", start + F.col("_off") + 1).join(
+    # blocks of a series shorter than a block go round its end
+    start = F.pmod(F.xxhash64(KEY, "replica", "_blk"), F.greatest(F.col("_n") - block + 1, F.lit(1)))
+    drawn = slots.withColumn("_src", F.pmod(start + F.col("_off"), F.col("_n")) + 1).join(
         train.select(KEY, F.col("row").cast("bigint").alias("_src"), F.col("resid").alias("_e")), [KEY, "_src"]
     )
     shift = drawn.groupBy(KEY, "replica").agg(

@@ -168,9 +168,13 @@ def dcc_grid(
         mats[:, upper[0], upper[1]] = vals
         mats[:, upper[1], upper[0]] = vals
         sign, logdet = np.linalg.slogdet(mats)
+        # a correlation matrix that isn't positive definite rules its grid point out; it may be singular
+        sound = sign > 0
+        out = np.full(len(vals), -np.inf)
+        es, mats = es[sound], mats[sound]
         quad = np.einsum("ni,ni->n", es, np.linalg.solve(mats, es[..., None])[..., 0])
-        out = -0.5 * (logdet + quad - np.einsum("ni,ni->n", es, es))
-        return pd.Series(np.where(sign > 0, out, -np.inf))
+        out[sound] = -0.5 * (logdet[sound] + quad - np.einsum("ni,ni->n", es, es))
+        return pd.Series(out)
 
     return per_date.groupBy("a", "b").agg(F.sum(term("r", "e")).alias("loglik")).withColumn(
         "persistence", F.col("a") + F.col("b")

@@ -108,6 +108,9 @@ def recursive_elimination(
                 for xs in eliminate(mean, cov, n):
                     f = linalg.solve_fit(n, mean, cov, xs, k, alpha, True)
                     scores.setdefault(len(xs), []).append(error(f, xs, parts[i][1], parts[i][2]))
+            if not scores:  # too short for a fold: nothing speaks against any feature
+                out.append((k, list(range(k)), [], []))
+                continue
             sizes = sorted(scores)
             means = [float(np.mean(scores[s])) for s in sizes]
             best = sizes[int(np.argmin(means))]
