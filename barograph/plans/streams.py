@@ -209,10 +209,10 @@ def alert_stream(s, d):
 
 register(
     "d17_alert_stream",
-    "series_id:s window:i date:d rmse:4 qlike:3 alert_upper_rmse:4 perf_alert:i health_alert:i alert_level:s",
+    "series_id:s window:i date:d rmse:4 qlike:3 alert_upper_rmse:4 perf_alert:i health_alert:i alert_level:s late:i",
     alert_stream,
     sql_r(
-        "SELECT *, CASE perf_alert + health_alert WHEN 0 THEN 'GREEN' WHEN 1 THEN 'YELLOW' ELSE 'RED' END AS alert_level FROM (SELECT mw.series_id, wn AS \"window\", date, rmse, qlike, "
+        "SELECT *, CASE perf_alert + health_alert WHEN 0 THEN 'GREEN' WHEN 1 THEN 'YELLOW' ELSE 'RED' END AS alert_level, 0 AS late FROM (SELECT mw.series_id, wn AS \"window\", date, rmse, qlike, "
         "alert_upper_rmse, CASE WHEN rmse > alert_upper_rmse THEN 1 ELSE 0 END AS perf_alert, greatest(health_all_same, health_has_negative, health_extreme_outlier) AS health_alert "
         "FROM mw JOIN mb USING (series_id))",
         *MON,

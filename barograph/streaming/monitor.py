@@ -1,6 +1,7 @@
 """Alerts on a stream of forecasts.
 
-State per key: the running loss of the baseline rows and at most one window of forecasts.
+State per key: the running loss of the baseline rows and at most one window of forecasts. Rows that aren't
+newer than the last row of their key come too late for its windows; every record says how many there were.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from barograph.functions.windows import KEY, TIME
 
 OUTPUT = (
     f"{KEY} string, window bigint, date date, rmse double, qlike double, alert_upper_rmse double, "
-    "perf_alert int, health_alert int, alert_level string"
+    "perf_alert int, health_alert int, alert_level string, late bigint"
 )
-STATE = "seen bigint, last_day string, base_sum double, actual array<double>, pred array<double>"
+STATE = "seen bigint, late bigint, last_day string, base_sum double, actual array<double>, pred array<double>"
 
 
 def monitor_stream(
@@ -31,11 +32,14 @@ def monitor_stream(
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, last, base, ys, ps = state.get if state.exists else (0, "", 0.0, [], [])
+        seen, late, last, base, ys, ps = state.get if state.exists else (0, 0, "", 0.0, [], [])
         ys, ps = list(ys), list(ps)
         out = []
         for day, y, p in pd.concat(list(batches)).sort_values(TIME)[[TIME, "actual", "pred"]].itertuples(index=False):
-            if str(day) <= last or p is None or p != p:
+            if p is None or p != p:
+                continue
+            if str(day) <= last:
+                late += 1
                 continue
             last = str(day)
             seen += 1
@@ -45,11 +49,12 @@ def monitor_stream(
             ys, ps = (ys + [y])[-rows:], (ps + [p])[-rows:]
             done = seen - 2 * rows
             if done >= 0 and done % step == 0:
-                out.append((key[0], done // step, day, *_record(np.array(ys), np.array(ps), base / rows, limit)))
-        state.update((seen, last, base, [float(v) for v in ys], [float(v) for v in ps]))
+                record = _record(np.array(ys), np.array(ps), base / rows, limit)
+                out.append((key[0], done // step, day, *record, late))
+        state.update((seen, late, last, base, [float(v) for v in ys], [float(v) for v in ps]))
         yield pd.DataFrame(
             out,
-            columns=[KEY, "window", "date", "rmse", "qlike", "alert_upper_rmse", "perf_alert", "health_alert", "alert_level"],
+            columns=[KEY, "window", "date", "rmse", "qlike", "alert_upper_rmse", "perf_alert", "health_alert", "alert_level", "late"],
         )
 
     return (

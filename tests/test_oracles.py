@@ -6,8 +6,11 @@ from check_oracles import compare, duck
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-# needs 252-row windows and a 500-row tail on dates that all series share
-NEEDS_MORE_ROWS = {"f5_connectedness_forecast"}
+# need 252-row windows, or the 200-row look-back of the whole matrix, and a 500-row tail on dates that all series share
+NEEDS_MORE_ROWS = {
+    "f5_connectedness_forecast", "f24_tree_gain_ranking", "f25_recursive_elimination", "f26_merged_rankings",
+    "f27_selection_summary",
+}
 SQL = entry.oracle_sql()
 QUERIES = entry.queries()
 

@@ -68,6 +68,18 @@ def test_alert_stream_equals_batch(table):
     assert (both["date"] == both["date_b"]).all()
 
 
+def test_alerts_count_late_rows(spark, table):
+    folder = fresh_folder(spark, "late-alerts")
+    preds = table.select("series_id", "t", F.col("target").alias("actual"), (F.col("target") + F.col("f1")).alias("pred"))
+    early = F.col("t") <= F.lit(days(120)[9])
+    preds.filter(~early).coalesce(1).write.parquet(folder)
+    preds.filter(early).unionByName(preds.filter(F.col("t") > F.lit(days(120)[89])).withColumn("t", F.date_add("t", 60))).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(preds.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = drain(monitor.monitor_stream(stream, 30, 10), "late-alerts-out").toPandas()
+    assert set(got[got["date"] <= days(120)[119]].late) == {0}
+    assert set(got[got["date"] > days(120)[119]].late) == {10}
+
+
 def test_event_bars_drop_repeats_and_late_ticks(spark):
     base = dt.datetime(2024, 1, 1)
     schema = "event_id bigint, series_id string, ts timestamp, price double"
