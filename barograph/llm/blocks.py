@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable
 
 import numpy as np
@@ -46,7 +47,11 @@ def discard(*tables: DataFrame) -> None:
 
 
 def let_go(df: DataFrame) -> None:
-    """Shuffle files of finished jobs go when the driver's collector finds that nothing refers to them."""
+    """Shuffle files of finished jobs go when the driver's collectors find that nothing refers to them.
+
+    Tables that Python functions refer to are in cycles, so Python's collector comes first.
+    """
+    gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
