@@ -4,10 +4,12 @@
 2. Randomised SVDs of the TF-IDF passages of the benchmark, a block of ``BLOCK_PASSAGES`` at a time and
    spread over the tasks, give each word of a block a latent vector. The rank is the number of passages, so
    that every passage keeps its whole length: an exact copy has cosine 1 however many items there are.
-3. Windows of every document, as wide as the passages of a scale and a quarter of that apart, are compared
-   with the passages of the scale by cosine. A window whose words known to a block carry less than
-   ``MIN_KNOWN`` of its weight can't reach the threshold (repeated words apart), and is left out before its
-   vector is built.
+3. Windows of every document, as wide as the passages of a scale and a quarter of that apart, are folded into
+   the latent space and compared with the passages of the scale there: the cosine is relative to the window's
+   latent length, so words about which the passages say nothing don't hide a copy that stands among them. A
+   window also has to be mostly the passage (``MIN_COSINE`` of its full length) or to hold ``MIN_HELD`` of the
+   passage's weight. A window whose words known to a block carry too little weight for either (repeated words
+   apart) is left out before its vector is built.
 4. Around each window that reaches it, the longest common subsequence of words decides: a large share of the
    item, or a smaller one if its answer, the last part of the item, is there as well. So an item is found
    after words were exchanged, dropped or put in.
@@ -38,6 +40,7 @@ BLOCK_PASSAGES = 128  # the largest rank as well
 GROUP_PASSAGES = 1_024
 MIN_COSINE = 0.4
 MIN_KNOWN = MIN_COSINE**2
+MIN_HELD = 0.6
 CELL = 4
 CHUNK_BYTES = 1 << 18
 WHOLE = 0.8
@@ -54,6 +57,7 @@ class Block(NamedTuple):
     scale: np.ndarray  # by passage
     owner: np.ndarray  # by passage: place of its item
     passages: np.ndarray  # latent unit-length passages
+    length: np.ndarray  # by passage: its TF-IDF length
 
 
 class Index(NamedTuple):
@@ -130,6 +134,11 @@ def passage_count(items: DataFrame) -> int:
     return items.select("text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def tfidf_length(word: np.ndarray, idf: np.ndarray) -> float:
+    terms, tf = np.unique(term(word), return_counts=True)
+    return float(np.linalg.norm(tf * idf[terms]))
+
+
 def weighted(word: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Terms of a passage and their TF-IDF weights, of unit length together."""
     terms, tf = np.unique(term(word), return_counts=True)
@@ -193,15 +202,17 @@ def build_index(items: DataFrame, idf: np.ndarray) -> Index | None:
         row = np.full(TERMS, -1, dtype=np.int32)
         row[known] = np.arange(len(known))
         anywhere[known] = True
-        scale, owner, passages = [], [], []
+        scale, owner, passages, length = [], [], [], []
         for k, p in pieces[block * BLOCK_PASSAGES : (block + 1) * BLOCK_PASSAGES]:
             terms, weight = weighted(p, idf)
             v = weight @ vectors[row[terms]]
             scale.append(next(s for s in SCALES if s >= len(p)))
             owner.append(k)
             passages.append(v / (np.linalg.norm(v) or 1))
+            length.append(tfidf_length(p, idf))
         scaled = (idf[known][:, None] * vectors).astype(np.float32)
-        blocks.append(Block(row, scaled, np.array(scale), np.array(owner), np.array(passages, dtype=np.float32)))
+        parts = (np.array(scale), np.array(owner), np.array(passages, dtype=np.float32), np.array(length, dtype=np.float32))
+        blocks.append(Block(row, scaled, *parts))
     return Index(idf.astype(np.float32), anywhere, blocks, ids, [w.tolist() for w in own])
 
 
@@ -239,7 +250,7 @@ def windows(cells: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def candidates(index: Index, word: np.ndarray, owner: np.ndarray, texts: int):
-    """(text, item, cosine, first word, past-the-last word) of the windows that reach the threshold."""
+    """(text, item, cosine, held share, first word, past-the-last word) of the windows that reach the thresholds."""
     length = np.bincount(owner, minlength=texts)
     begin = np.cumsum(length) - length
     cells = -(-length // CELL)
@@ -264,7 +275,10 @@ def candidates(index: Index, word: np.ndarray, owner: np.ndarray, texts: int):
         looked_at, edges = [], np.zeros(total + 1, dtype=np.int64)
         for scale, text, first, last, a, z, m in spread:
             of = np.flatnonzero(block.scale == scale)
-            live = np.flatnonzero((inside[z] - inside[a] >= MIN_KNOWN * m) & (m > 0)) if len(of) else of
+            if not len(of):
+                continue
+            least = np.minimum(MIN_KNOWN * m, (MIN_HELD * block.length[of].min()) ** 2)
+            live = np.flatnonzero((inside[z] - inside[a] >= least) & (m > 0))
             if not len(live):
                 continue
             looked_at.append((of, *(v[live] for v in (text, first, last, a, m)), scale))
@@ -292,21 +306,27 @@ def candidates(index: Index, word: np.ndarray, owner: np.ndarray, texts: int):
             while width * CELL < scale:  # sums of twice as many cells from each cell on
                 sums[:-width] += sums[width:]
                 width *= 2
-            cosine = (sums[short[a]] / np.sqrt(m)[:, None].astype(np.float32)) @ block.passages[of].T
-            at, k = np.nonzero(cosine >= MIN_COSINE)
-            found = (text[at], block.owner[of[k]], cosine[at, k], first[at] * CELL, last[at] * CELL)
+            folded = sums[short[a]]
+            full = np.sqrt(m).astype(np.float32)
+            # the full length leaves repeated words apart, so that it may be the smaller one
+            latent = np.minimum(np.sqrt(np.einsum("ij,ij->i", folded, folded)), full)
+            along = folded @ block.passages[of].T
+            near = (along >= MIN_COSINE * full[:, None]) | (along >= MIN_HELD * block.length[of])
+            at, k = np.nonzero(near & (along >= MIN_COSINE * latent[:, None]) & (along > 0))
+            along = along[at, k]
+            found = (text[at], block.owner[of[k]], along / latent[at], along / block.length[of[k]], first[at] * CELL, last[at] * CELL)
             yield from zip(*(v.tolist() for v in found))
 
 
 def search_texts(index: Index, word: np.ndarray, owner: np.ndarray, texts: int) -> list[tuple]:
     """(text, place of the item, cosine, share, share of the answer) of the items that texts hold.
 
-    Of windows that overlap, the nearest one is tried; the others add nothing to its surroundings.
+    Of windows that overlap, the one that holds most is tried; the others add nothing to its surroundings.
     """
     edge = np.searchsorted(owner, np.arange(texts + 1)).tolist()
     tried: dict[tuple[int, int], list] = {}
     found: dict[tuple[int, int], tuple] = {}
-    for text, k, cosine, a, b in sorted(candidates(index, word, owner, texts), key=lambda c: (-c[2], c)):
+    for text, k, cosine, _, a, b in sorted(candidates(index, word, owner, texts), key=lambda c: (-c[3], c)):
         seen = tried.setdefault((text, k), [])
         if (text, k) in found or any(a < y and x < b for x, y in seen):
             continue

@@ -77,3 +77,21 @@ def test_latent_passages_keep_their_length():
     for p in own:
         terms, w = decontaminate.weighted(p, idf)
         assert abs(decontaminate.np.linalg.norm(w @ vectors[decontaminate.np.searchsorted(known, terms)]) - 1) < 1e-6
+
+
+def test_copies_among_rare_words_are_found(spark):
+    """Words that no passage has weigh much, and nothing in the latent space: they don't hide a copy."""
+    rnd = random.Random(13)
+    common = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    items = [(k, " ".join(rnd.sample(common, 33))) for k in range(8)]
+
+    def rare(n):
+        return " ".join("".join(rnd.choice("klmnopqrst") for _ in range(9)) for _ in range(n))
+
+    rows = [(k, f"{rare(60)} {t} {rare(60)}") for k, t in items]
+    rows += [(100 + k, " ".join(rnd.choice(common) for _ in range(200))) for k in range(300)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.leaks(docs_frame(spark, rows), table).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(k, k) for k, _ in items}
+    # in the latent space a copy is the item, whatever stands beside it
+    assert min(r["cosine"] for r in found) > 0.8
