@@ -31,3 +31,23 @@ def test_plain_local_session(tmp_path):
         [sys.executable, "-c", PLAIN.format(root=ROOT)], env=env, capture_output=True, text=True, timeout=300
     )
     assert done.stdout.strip().endswith("fine"), done.stderr[-2000:]
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import glob
+    import time
+
+    from barograph.sources.checkpoint import CLEANUP, stored
+
+    folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffles():
+        return {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+
+    before = shuffles()
+    table = stored(spark.range(20_000).selectExpr("id % 1000 AS k").groupBy("k").count(), "counts")
+    until = time.time() + 10
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert table.count() == 1000 and spark.conf.get(CLEANUP) == "false"
