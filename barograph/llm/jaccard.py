@@ -12,9 +12,12 @@ only can't be shared, so most texts have nothing left to share and drop out befo
    a factor of 1/0.8) meet in a tile; large tiles are cut into pairs of blocks. In a tile the number of
    bits in which two bitmaps differ bounds the overlap from above.
 4. What passes is intersected exactly. A tile of more than ``SMALL_TILE`` sets first proposes one partner
-   per set; what is linked then counts as one component, in which nothing more is compared. The last round
-   proposes every pair between different components that passes the bitmaps. So no link between
-   components is lost and no group writes all its pairs.
+   per set; what is linked then counts as one component, in which nothing more is compared.
+5. Near misses stay in different components however often they are compared, and a group of them has a
+   square of pairs. So the last round writes no pairs of sets: a set's home is the commonest of its leading
+   shingles, and a tile names the homes that have a pair between different components that passes the
+   bitmaps. The sets of two such homes come together once and are intersected exactly; only links that join
+   components are written. So no link between components is lost and no group writes all its pairs.
 
 Cases: null and empty texts and texts of white space have no shingles and no links; texts of one to four
 words have one shingle of the whole sequence; null ids form no links and are their own component (null);
@@ -40,6 +43,7 @@ BITMAP_WORDS = 16
 SMALL_TILE = 4
 TILE = 1_024
 BUCKET_ROWS = 8_000
+HOME_BYTES = 8 << 20  # sets of a home that come together; a larger home is cut into parts
 CHUNK_BYTES = 1 << 20  # texts whose sets stand in memory at a time
 
 
@@ -110,17 +114,30 @@ def leading_sets(base: DataFrame, shared: DataFrame) -> DataFrame:
     )
 
 
+def ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs, the smaller one first."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
 def proposals(tiles: DataFrame, rows: int, everything: bool) -> DataFrame:
     """``a, b`` with a < b: pairs of different components whose bitmaps leave the threshold in reach.
 
     Unless ``everything`` is asked for, a set of a tile with more than SMALL_TILE sets proposes only the first
     set of the tile, in the order of sizes and ids, that passes: near copies propose the same one in all tiles.
+    With ``everything`` the pairs are those of the homes of such sets, a <= b.
     """
+    named = "home" if everything else "doc"
+    columns = dict.fromkeys(("tile", "upper", "block", "single", "doc", "n", "component", "sets", named))
     buckets = 1 + rows // BUCKET_ROWS
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def meet(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_numpy() for c in ("tile", "upper", "block", "single", "doc", "n", "component", "sets")}
+        col = {c: table.column(c).to_numpy() for c in columns}
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), "<u8").reshape(-1, BITMAP_WORDS)
         order = np.lexsort((col["doc"], col["n"], col["tile"]))
         col = {c: v[order] for c, v in col.items()}
@@ -143,12 +160,11 @@ def proposals(tiles: DataFrame, rows: int, everything: bool) -> DataFrame:
             apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
             near = 9 * apart <= col["n"][i] + col["n"][j]
             i, j = i[near], j[near]
-            found.append((col["doc"][i], col["doc"][j]))
+            found.append(ordered(col[named][i], col[named][j]))
             live = live[~np.isin(live, j[thrifty[j]], assume_unique=True)]
         if not found:
             return schema.empty_table()
-        a, b = (np.concatenate(c) for c in zip(*found))
-        return pa.table([np.minimum(a, b), np.maximum(a, b)], schema=schema)
+        return pa.table(list(ordered(*(np.concatenate(c) for c in zip(*found)))), schema=schema)
 
     bucket = F.pmod(F.col("tile"), F.lit(buckets)).cast("int")
     return tiles.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
@@ -176,6 +192,7 @@ def lay_tiles(posts: DataFrame) -> DataFrame:
             "component",
             "sets",
             "bits",
+            *(c for c in posts.columns if c == "home"),
         )
     )
 
@@ -199,6 +216,67 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def homes_of(posts: DataFrame) -> DataFrame:
+    """``doc, n, component, home``: the commonest of a set's leading shingles."""
+    return posts.groupBy("doc").agg(
+        F.first("n").alias("n"), F.first("component").alias("component"), F.max(F.struct("sets", "token")).alias("most")
+    ).select("doc", "n", "component", F.col("most.token").alias("home"))
+
+
+def settled(pairs: DataFrame, homes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, linked``: links between components in the pairs of homes; in a task none that others imply."""
+    parts = homes.groupBy("home").agg(
+        F.greatest(F.ceil(F.sum("n") * 8 / HOME_BYTES), F.ceil(F.count("*") / TILE)).cast("int").alias("parts")
+    )
+    cells = (
+        pairs.join(parts.select(F.col("home").alias("a"), F.col("parts").alias("of_a")), "a")
+        .join(parts.select(F.col("home").alias("b"), F.col("parts").alias("of_b")), "b")
+        .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("of_a") - 1)))
+        .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("of_b") - 1)))
+        .filter("a < b OR x <= y")
+    )
+    # 1 and 2 for the sides of a cell that are compared with each other, 3 for a part that is compared with itself
+    side = lambda k, home, part, alone: F.struct(
+        F.col(home).alias("home"), F.col(part).alias("part"), F.when(alone, 3).otherwise(k).alias("side")
+    )
+    alone = (F.col("a") == F.col("b")) & (F.col("x") == F.col("y"))
+    sides = F.array_distinct(F.array(side(1, "a", "x", alone), side(2, "b", "y", alone)))
+    cells = cells.select(F.xxhash64("a", "b", "x", "y").alias("cell"), F.inline(sides))
+    members = homes.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    members = members.join(sets.select(F.col("doc_id").alias("doc"), "bits", "items"), "doc")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
+
+    def settle(table: pa.Table) -> pa.Table:
+        col = {c: table.column(c).to_numpy() for c in ("doc", "n", "component", "side")}
+        order = np.lexsort((col["doc"], col["n"]))
+        doc, n, component, side = (v[order] for v in col.values())
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), "<u8").reshape(-1, BITMAP_WORDS)[order]
+        items = table.column("items").to_pylist()
+        items = np.frombuffer(b"".join(items[k] for k in order.tolist()), "<u8")
+        values, code = np.unique(items, return_inverse=True)
+        code = np.split(code.astype(np.int32), np.cumsum(n)[:-1])
+        here = np.zeros(len(values), dtype=bool)
+        last = np.searchsorted(4 * n, 5 * n, side="right")
+        found = []
+        for i in range(len(n)):
+            j = np.arange(i + 1, last[i])
+            j = j[(component[j] != component[i]) & (side[j] | side[i] == 3)]
+            j = j[9 * np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64) <= n[j] + n[i]]
+            if not len(j):
+                continue
+            here[code[i]] = True
+            both = np.add.reduceat(here[np.concatenate([code[k] for k in j])], np.cumsum(n[j]) - n[j], dtype=np.int64)
+            here[code[i]] = False
+            for k in j[100 * both >= 80 * (n[j] + n[i] - both)]:
+                if component[k] != component[i]:
+                    found.append((doc[i], doc[k], True))
+                    component[component == component[k]] = component[i]
+        return pa.table([list(c) for c in zip(*found)], schema=schema) if found else schema.empty_table()
+
+    met = cells.join(members, ["home", "part"]).select("cell", "side", "doc", "n", "component", "bits", "items")
+    return met.groupBy("cell").applyInArrow(settle, "a long, b long, linked boolean")
+
+
 def link(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
     spark = docs.sparkSession
@@ -228,9 +306,16 @@ def link(docs: DataFrame) -> DataFrame:
             if mixed.isEmpty():
                 break
             named = named.join(mixed, "token", "left_semi")
+        if turn == "rest":
+            homes = stored(homes_of(named), "homes")
+            named = named.join(homes.select("doc", "home"), "doc")
         tiles = stored(lay_tiles(named), "tiles")
-        pairs = proposals(tiles, tiles.count(), turn == "rest").join(tested, ["a", "b"], "left_anti")
-        new = stored(verified(pairs, sets), "tested")
+        pairs = proposals(tiles, tiles.count(), turn == "rest")
+        if turn == "rest":
+            new = stored(settled(pairs, homes, sets), "tested")
+            discard(homes)
+        else:
+            new = stored(verified(pairs.join(tested, ["a", "b"], "left_anti"), sets), "tested")
         discard(tiles)
         let_go(docs)
         if new.isEmpty():

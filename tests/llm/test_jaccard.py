@@ -56,5 +56,35 @@ def test_against_brute_force(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_near_misses_write_no_square_of_pairs(spark, monkeypatch):
+    """Sixty texts that all but reach the threshold with each other, and a copy of some that reaches it."""
+    monkeypatch.setattr(jaccard, "HOME_BYTES", 200_000, raising=False)
+    rnd = random.Random(8)
+    base = [f"w{k}" for k in range(2_000)]
+
+    def changed(words, changes, tag):
+        words = list(words)
+        for k, at in enumerate(rnd.sample(range(len(words)), changes)):
+            words[at] = f"{tag}x{k}"
+        return words
+
+    texts = [changed(base, 27, f"d{d}") for d in range(60)]
+    texts += [changed(texts[d], 5, f"c{d}") for d in range(0, 60, 6)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    written = []
+
+    def stored(df, name):
+        out = kept(df, name)
+        written.append((name, out.count()))
+        return out
+
+    kept = jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", stored)
+    got = collected(jaccard.link(docs_frame(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert got == brute(rows)
+    assert len({c for _, _, c in got}) == 60
+    assert sum(n for name, n in written if name == "tested") <= 4 * len(rows)
+
+
 def test_empty(spark):
     assert jaccard.link(docs_frame(spark, [])).collect() == []
