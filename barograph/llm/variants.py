@@ -70,6 +70,7 @@ def halved(rows: DataFrame) -> DataFrame:
     back = F.struct(F.col("head"), (F.col("tail") + half).alias("tail"), F.least("cap", F.col("head") + half).alias("cap"))
     rows = rows.withColumn("side", F.explode(F.array(front, back)))
     rows = rows.select("word", "n", "band", "side.head", "side.tail", "side.cap")
+    rows = rows.filter("cap > head")  # else all pairs of the list share cap code points in front
     fixed = F.concat(F.expr("substring(word, 1, head)"), F.lit("|"), F.expr("substring(word, length(word) - tail + 1)"))
     return rows.withColumn("key", F.concat_ws(" ", "band", "head", "tail", "cap", fixed))
 
